@@ -1 +1,122 @@
+"""Splits, origin tables, adversarial scores."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from relloom.catalog.base import TEST, query, with_rel
+from relloom.catalog.cleaning import parsed
+from relloom.corpus import test_relations
+from relloom.operators import split as sp
+from relloom.operators.adversarial import adversarial_scores
+from relloom.plans.config import Config
+from relloom.plans.prepare import adversarial_split, training_rows
+from relloom.session import scratch_path
+
+STRATIFIED = """
+split_rows AS (
+  SELECT id, label, sentence, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id::VARCHAR))
+      <= round(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE) THEN 'valid' ELSE 'train' END AS split
+  FROM rel
+)"""
+
+
+@query("stratified_split", with_rel("SELECT id, label, split FROM split_rows", STRATIFIED))
+def stratified(spark, sf):
+    return sp.stratified_split(parsed(spark, sf)).select("id", "label", "split")
+
+
+@query(
+    "random_split",
+    with_rel(
+        """SELECT id, source, CASE WHEN row_number() OVER (ORDER BY md5('42:' || id::VARCHAR))
+             <= ceil(count(*) OVER () * 0.3::DOUBLE) THEN 'valid' ELSE 'train' END AS split FROM rel
+           UNION ALL SELECT id, source, 'train' FROM test_rel""",
+        TEST,
+    ),
+)
+def random(spark, sf):
+    out = sp.random_split(parsed(spark, sf), 0.3, extra_train=test_relations(spark, sf))
+    return out.select("id", "source", "split")
+
+
+@query(
+    "score_split",
+    with_rel(
+        """SELECT id, label, prob_1, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY prob_1 DESC, id)
+             <= floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE) THEN 'valid' ELSE 'train' END AS split
+           FROM (SELECT *, ((id * 7919) % 1000) / 1000.0::DOUBLE AS prob_1 FROM rel)"""
+    ),
+)
+def by_score(spark, sf):
+    rows = parsed(spark, sf).withColumn("prob_1", F.expr("((id * 7919) % 1000) / 1000.0D"))
+    return sp.score_split(rows).select("id", "label", "prob_1", "split")
+
+
+@query("no_split", with_rel("SELECT id, 'train' AS split FROM rel"))
+def without(spark, sf):
+    return sp.no_split(parsed(spark, sf)).select("id", "split")
+
+
+@query(
+    "origin_table",
+    with_rel(
+        "SELECT id, sentence, 0 AS comes_from FROM rel UNION ALL SELECT id, sentence, 1 FROM test_rel",
+        TEST,
+    ),
+)
+def origin(spark, sf):
+    both = sp.origin_table(parsed(spark, sf), test_relations(spark, sf))
+    return both.select("id", "sentence", "comes_from")
+
+
+@query("export_split", with_rel("SELECT id, label, sentence, split FROM split_rows", STRATIFIED))
+def export(spark, sf):
+    """Both parts written side by side and read back."""
+    path = scratch_path(spark, "split")
+    sp.export_split(sp.stratified_split(parsed(spark, sf)), path)
+    return spark.read.parquet(path).select("id", "label", "sentence", "split")
+
+
+@query(
+    "attach_scores",
+    with_rel("SELECT id, label, ((id * 7919) % 1000) / 1000.0::DOUBLE AS prob_1 FROM rel"),
+)
+def attach(spark, sf):
+    rows = parsed(spark, sf)
+    scores = rows.select("id", F.expr("((id * 7919) % 1000) / 1000.0D").alias("prob_1"))
+    return sp.attach_scores(rows, scores).select("id", "label", "prob_1")
+
+
+@query("adversarial_scores")
+def adversarial(spark, sf):
+    return adversarial_scores(parsed(spark, sf), test_relations(spark, sf)).select("id", "label", "prob_1")
+
+
+@query("adversarial_split")
+def adversarial_parts(spark, sf):
+    out = adversarial_split(parsed(spark, sf), test_relations(spark, sf))
+    return out.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "training_rows",
+    with_rel(
+        """SELECT label, split, count(*) AS n FROM (
+             SELECT id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id::VARCHAR))
+               <= round(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE) THEN 'valid' ELSE 'train' END AS split
+             FROM rel WHERE id NOT IN (SELECT id FROM losers)) GROUP BY label, split""",
+        """conflicts AS (
+  SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY sentence, subject_entity, object_entity) AS n3,
+    count(*) OVER (PARTITION BY sentence, subject_entity, object_entity, label) AS n4 FROM rel) WHERE n3 > 1 AND n4 = 1
+), label_rows AS (SELECT label, count(*) AS label_rows FROM rel GROUP BY label),
+losers AS (
+  SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY sentence, subject_entity, object_entity
+      ORDER BY label_rows, label, id) AS rn FROM conflicts JOIN label_rows USING (label)) WHERE rn > 1
+)""",
+    ),
+)
+def training(spark, sf):
+    """The default preparation of training rows: clean in list order, then split."""
+    cfg = Config(select_DC=["remove_duplicated", "add_only_punct", "add_others_tokens", "quering_with_punct"])
+    return training_rows(parsed(spark, sf), cfg).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))

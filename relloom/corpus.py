@@ -31,15 +31,17 @@ def relations_from(texts: DataFrame) -> DataFrame:
     """Parsed relation rows from (doc_id, source, text)."""
     words = spread(texts, "doc_id").select(
         "doc_id", "source",
-        F.filter(F.split("text", "[ \\n\\t\\r]+"), lambda x: x != "").alias("all_w"),
-    ).where(F.size("all_w") >= 6)
+        F.split(F.btrim("text", F.lit(" \n\t\r")), "[ \\n\\t\\r]+").alias("all_w"),
+    )
     # Each run keeps all its words: the last one also takes what is left over.
     runs = F.expr(
         f"""transform(sequence(0, greatest(1, size(all_w) div {RUN}) - 1), i ->
             slice(all_w, i * {RUN} + 1,
                   if(i = greatest(1, size(all_w) div {RUN}) - 1, size(all_w) - i * {RUN}, {RUN})))"""
     )
-    picked = words.select("doc_id", "source", F.posexplode(runs).alias("chunk", "w")).selectExpr(
+    picked = words.select("doc_id", "source", F.posexplode(runs).alias("chunk", "w")).where(
+        F.size("w") >= 6
+    ).selectExpr(
         "doc_id", "chunk", "source", "w",
         "CAST(length(get(w, 0)) % 3 AS INT) AS a",
         "CAST(3 + length(get(w, 1)) % 2 AS INT) AS b",

@@ -29,19 +29,22 @@ def exchange_pairs(df: DataFrame) -> DataFrame:
     """Row i of n in a (label, object type, subject type) group takes the words of row n+1-i.
 
     Both words are replaced literally in the sentence, the subject first. A group may be a
-    large part of the corpus: positions come from a range-partitioned rank, and the join key
-    (group, position) is unique.
+    large part of the corpus: positions come from a range-partitioned rank over ids and words
+    only, the join key (group, position) is unique, and so is the id that joins the rows.
     """
     group = ["label", "object_type", "subject_type"]
     eligible = df.where(
         (F.col("label") != rules.NO_RELATION) & F.col("object_type").isin(*rules.EXCHANGE_TYPES)
     )
-    rows = ranked(eligible, group, [F.col("id").asc()])
-    partner = rows.select(
-        *group,
-        (F.col("rn_total") + 1 - F.col("rn")).alias("rn"),
-        F.col("subject_entity").alias("_subject"),
-        F.col("object_entity").alias("_object"),
+    words = eligible.select(
+        "id", *group, F.col("subject_entity").alias("_subject"), F.col("object_entity").alias("_object")
+    )
+    places = ranked(words, group, [F.col("id").asc()])
+    mirrored = places.select(
+        *group, (F.col("rn_total") + 1 - F.col("rn")).alias("rn"), "_subject", "_object"
+    )
+    partner = places.select("id", *group, "rn").join(mirrored, [*group, "rn"]).select(
+        "id", "_subject", "_object"
     )
     new = {
         "sentence": F.replace(
@@ -51,9 +54,7 @@ def exchange_pairs(df: DataFrame) -> DataFrame:
         "subject_entity": F.col("_subject"),
         "object_entity": F.col("_object"),
     }
-    return rows.join(partner, [*group, "rn"]).select(
-        *[new.get(c, F.col(c)).alias(c) for c in df.columns]
-    )
+    return eligible.join(partner, "id").select(*[new.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
 # Step names an augmentation list may hold.

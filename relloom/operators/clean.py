@@ -12,6 +12,7 @@ from relloom import rules
 from relloom.functions.text import after, between, words
 from relloom.operators.dedup import drop_listed
 from relloom.operators.parse import parse_entities
+from relloom.session import BROADCAST_ROWS, materialise
 
 # More stop words than this are joined instead of written into the expression.
 INLINE_WORDS = 10_000
@@ -198,57 +199,56 @@ def mask_other_persons(df: DataFrame, names: DataFrame, salts: int = 16) -> Data
     """Replace listed names outside the two tagged entities by ``[PER]``; the tags go away.
 
     Names are matched on whole blank-separated words, the longest one first from the left.
-    The name list grows with the corpus, so it is joined, not collected; a frequent word is
-    spread over ``salts`` join keys.
+    The name list grows with the corpus: a list found small is broadcast, a longer one is
+    joined by shuffle, and a frequent word is then spread over ``salts`` join keys.
     """
+    names = materialise(names.select("name").distinct())
+    small = names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     pieces = F.split("sentence", r" ?\[ENT\] ?| ?\[/ENT\] ?")
-    whole = lambda p: (p == F.col("subject_entity")) | (p == F.col("object_entity"))
-    # One entry per word: its text, and the piece it belongs to (-1 = never replaced).
-    marked = F.flatten(
-        F.transform(
-            pieces,
-            lambda p, i: F.transform(
-                F.split(p, " "), lambda w: F.struct(w.alias("w"), F.when(whole(p), -1).otherwise(i).alias("piece"))
-            ),
-        )
-    )
-    rows = df.select("id", marked.alias("_words"))
     longest = names.agg(F.coalesce(F.max(F.size(F.split("name", " "))), F.lit(1))).scalar()
-    spans = F.expr(
-        """filter(flatten(transform(_words, (x, i) ->
-             transform(sequence(1, greatest(1, least(_longest, size(_words) - i))), n ->
-               named_struct('pos', i, 'n', n, 'piece', x.piece, 'last', _words[least(i + n, size(_words)) - 1].piece,
-                            'name', array_join(transform(slice(_words, i + 1, n), y -> y.w), ' '))))),
-           s -> s.piece >= 0 AND s.piece = s.last AND s.name <> '')"""
-    )
-    candidates = (
-        rows.withColumn("_longest", longest)
-        .select("id", F.explode(spans).alias("s"))
-        .select("id", "s.pos", "s.n", "s.name")
-        .withColumn("_salt", F.pmod(F.xxhash64("id", "pos"), F.lit(salts)).cast("int"))
-    )
-    spread = names.select("name", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    hits = (
-        candidates.join(spread, ["name", "_salt"], "left_semi")
-        .groupBy("id")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", (-F.col("n")).alias("less")))).alias("_hits"))
+    texts = df.select("id", "subject_entity", "object_entity", F.posexplode(pieces).alias("piece", "text"))
+    texts = texts.where("text <> subject_entity AND text <> object_entity")
+    # From every word the words that may belong to a name starting there.
+    tails = F.expr("transform(_words, (w, i) -> slice(_words, i + 1, _longest))")
+    spans = (
+        texts.select("id", "piece", F.split("text", " ").alias("_words"), longest.alias("_longest"))
+        .select("id", "piece", F.posexplode(tails).alias("pos", "tail"))
+        .select("id", "piece", "pos", "tail", F.explode(F.sequence(F.lit(1), F.size("tail"))).alias("n"))
+        .select("id", "piece", "pos", "n", F.expr("array_join(slice(tail, 1, n), ' ')").alias("name"))
     )
+    if small:
+        found = spans.join(F.broadcast(names), "name", "left_semi")
+    else:
+        spread = names.select("name", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        salted = spans.withColumn("_salt", F.pmod(F.xxhash64("id", "pos"), F.lit(salts)).cast("int"))
+        found = salted.join(spread, ["name", "_salt"], "left_semi")
+    hit = F.struct("piece", "pos", (-F.col("n")).alias("less"))
+    hits = found.groupBy("id").agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
     # Left to right, longest first; a name that starts inside a taken one is skipped.
     chosen = F.expr(
-        """aggregate(_hits, named_struct('free', 0, 'taken', cast(array() AS array<struct<pos:int,n:int>>)),
-             (acc, h) -> if(h.pos < acc.free, acc, named_struct('free', h.pos - h.less,
-               'taken', concat(acc.taken, array(named_struct('pos', h.pos, 'n', -h.less))))), acc -> acc.taken)"""
+        """aggregate(_hits,
+             named_struct('piece', -1, 'free', 0, 'taken', cast(array() AS array<struct<piece:int,pos:int,n:int>>)),
+             (acc, h) -> if(h.piece = acc.piece AND h.pos < acc.free, acc,
+               named_struct('piece', h.piece, 'free', h.pos - h.less, 'taken',
+                 concat(acc.taken, array(named_struct('piece', h.piece, 'pos', h.pos, 'n', -h.less))))),
+             acc -> acc.taken)"""
     )
-    taken = hits.select("id", chosen.alias("_taken"))
+    # array_join leaves out NULL: the words behind the first one of a name.
     rebuilt = F.expr(
-        """array_join(transform(filter(transform(_words, (x, i) -> named_struct('i', i, 'w', x.w)),
-             v -> NOT exists(coalesce(_taken, array()), t -> v.i > t.pos AND v.i < t.pos + t.n)),
-           v -> if(exists(coalesce(_taken, array()), t -> t.pos = v.i), '[PER]', v.w)), ' ')"""
+        """array_join(transform(_pieces, (p, i) -> if(NOT exists(_taken, t -> t.piece = i), p,
+             array_join(transform(split(p, ' '), (w, k) -> CASE
+               WHEN exists(_taken, t -> t.piece = i AND t.pos = k) THEN '[PER]'
+               WHEN exists(_taken, t -> t.piece = i AND k > t.pos AND k < t.pos + t.n) THEN NULL
+               ELSE w END), ' '))), ' ')"""
     )
-    texts = rows.join(taken, "id", "left").select("id", rebuilt.alias("_text"))
-    return df.join(texts, "id").select(
-        *[F.col("_text").alias(c) if c == "sentence" else F.col(c) for c in df.columns]
+    taken = hits.select("id", chosen.alias("_chosen"))
+    placed = df.join(taken, "id", "left").withColumns(
+        {
+            "_taken": F.coalesce("_chosen", F.array().cast("array<struct<piece:int,pos:int,n:int>>")),
+            "_pieces": pieces,
+        }
     )
+    return placed.select(*[rebuilt.alias(c) if c == "sentence" else F.col(c) for c in df.columns])
 
 
 Step = Callable[..., DataFrame]

@@ -74,10 +74,18 @@ def random_split(
 def score_split(
     df: DataFrame, score: str = "prob_1", strata: str = "label", test_size: float = 0.2
 ) -> DataFrame:
-    """Per label the floor(n * test_size) rows that look most like test rows become valid."""
-    rows = ranked(df, [strata], [F.col(score).desc(), F.col("id").asc()])
-    top = F.col("rn") <= F.floor(F.col("rn_total") * F.lit(test_size))
-    return rows.select(*df.columns, F.when(top, "valid").otherwise("train").alias("split"))
+    """Per label the floor(n * test_size) rows that look most like test rows become valid.
+
+    Only (id, label, score) is ranked; the last valid row of each label is joined back, so the
+    full rows do not shuffle.
+    """
+    narrow = df.select("id", F.col(strata).alias("_s"), F.col(score).alias("_cut"))
+    places = ranked(narrow, ["_s"], [F.col("_cut").desc(), F.col("id").asc()])
+    last = F.floor(F.col("rn_total") * F.lit(test_size))
+    cuts = lookup(places.where(F.col("rn") == last).select("_s", "_cut", F.col("id").alias("_id")))
+    placed = df.join(cuts, F.col(strata).eqNullSafe(F.col("_s")), "left")
+    above = (F.col(score) > F.col("_cut")) | ((F.col(score) == F.col("_cut")) & (F.col("id") <= F.col("_id")))
+    return placed.select(*df.columns, F.when(above, "valid").otherwise("train").alias("split"))
 
 
 def no_split(df: DataFrame) -> DataFrame:
