@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from relloom import rules
 from relloom.catalog.base import query, with_rel
 from relloom.corpus import raw, relations
+from relloom.functions.arrays import explode_once
 from relloom.operators import augment as aug
 from relloom.operators import clean as cl
 from relloom.operators.dedup import dedup
@@ -210,7 +211,7 @@ def kana(spark, sf):
 def stop_words(spark, sf):
     """The 50 most frequent words of the corpus serve as the stop list."""
     rows = parsed(spark, sf)
-    words = rows.select(F.explode(F.split("sentence", " ")).alias("word")).where("word <> ''")
+    words = explode_once(rows, [], F.split("sentence", " "), "pos", "word").where("word <> ''")
     stop = value_counts(words, "word").limit(50).select("word")
     return cl.remove_stop_words(rows, stop).select("id", "sentence")
 

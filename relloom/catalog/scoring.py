@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relloom import rules
 from relloom.catalog.base import LABEL_LIST, query, scored_cte, with_rel
 from relloom.corpus import relations, scored
+from relloom.functions.arrays import explode_once
 from relloom.operators import ensemble as en
 from relloom.operators import evaluate as ev
 
@@ -34,7 +35,7 @@ def predicted(spark, sf) -> DataFrame:
 
 
 def logits(spark, sf) -> DataFrame:
-    return run_rows(spark, sf).withColumn("logits", F.transform("probs", F.log))
+    return run_rows(spark, sf).withColumn("logits", F.transform("probs", lambda p: F.log(p)))
 
 
 @query("predict_labels", with_rel(f"SELECT id, pred, {LABEL_LIST}[pred + 1] AS pred_label FROM preds", SCORED, PRED))
@@ -53,7 +54,7 @@ def predict(spark, sf):
 def softmaxed(spark, sf):
     """Softmax of the logits gives the probabilities back."""
     rows = ev.add_probs(logits(spark, sf))
-    return rows.select("id", F.posexplode("probs").alias("c", "p")).withColumn("p", F.round("p", 9))
+    return explode_once(rows, ["id"], F.col("probs"), "c", "p").withColumn("p", F.round("p", 9))
 
 
 F1 = """f1 AS (SELECT count(*) FILTER (pred = label_num AND label_num <> 0) AS tp,
@@ -240,7 +241,7 @@ ENSEMBLE = ",".join(
 )
 def mean_probs(spark, sf):
     rows = en.ensemble(all_runs(spark, sf))
-    return rows.select("id", F.posexplode("probs").alias("c", "p")).withColumn("p", F.round("p", 9))
+    return explode_once(rows, ["id"], F.col("probs"), "c", "p").withColumn("p", F.round("p", 9))
 
 
 @query(
@@ -255,8 +256,8 @@ def checked(spark, sf):
 @query(
     "ensemble_submission",
     with_rel(
-        f"""SELECT id, {LABEL_LIST}[list_position(r, list_max(r))] AS pred_label, round(list_max(probs), 9) AS top
-            FROM (SELECT id, probs, list_transform(probs, lambda p: round(p, 12)) AS r FROM mean)""",
+        f"""SELECT id, {LABEL_LIST}[list_position(r, list_max(r))] AS pred_label, round(list_max(r), 6) AS top
+            FROM (SELECT id, list_transform(probs, lambda p: round(p, 12)) AS r FROM mean)""",
         ENSEMBLE,
     ),
 )
@@ -264,7 +265,7 @@ def submission(spark, sf):
     """Sums in another order may part a tie in the last digit, so ties are made exact first."""
     mean = en.ensemble(all_runs(spark, sf))
     rows = ev.predict_labels(mean.withColumn("probs", F.transform("probs", lambda p: F.round(p, 12))))
-    return rows.select("id", "pred_label", F.round(F.array_max("probs"), 9).alias("top"))
+    return rows.select("id", "pred_label", F.round(F.array_max("probs"), 6).alias("top"))
 
 
 def type_model(batch: pd.DataFrame) -> pd.Series:

@@ -8,10 +8,14 @@ rows, and every fifth row takes its label from the id, which gives label conflic
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relloom.functions.arrays import explode_once, let, total
 from relloom.rules import LABELS, NUM_LABELS
+from relloom.session import scratch_path
 
 RUN = 24
 RUNS_PER_DOC = 1_000_000
@@ -39,9 +43,8 @@ def relations_from(texts: DataFrame) -> DataFrame:
             slice(all_w, i * {RUN} + 1,
                   if(i = greatest(1, size(all_w) div {RUN}) - 1, size(all_w) - i * {RUN}, {RUN})))"""
     )
-    picked = words.select("doc_id", "source", F.posexplode(runs).alias("chunk", "w")).where(
-        F.size("w") >= 6
-    ).selectExpr(
+    cut = explode_once(words, ["doc_id", "source"], runs, "chunk", "w")
+    picked = cut.where(F.size("w") >= 6).selectExpr(
         "doc_id", "chunk", "source", "w",
         "CAST(length(get(w, 0)) % 3 AS INT) AS a",
         "CAST(3 + length(get(w, 1)) % 2 AS INT) AS b",
@@ -75,8 +78,23 @@ def relations_from(texts: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.element_at(names, F.col("label_num") + 1))
 
 
+_prepared: dict[tuple[str, str], str] = {}
+_lock = threading.Lock()
+
+
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations_from(table(spark, sf_dir, "documents"))
+    """The prepared corpus: derived once per session, written to the shared folder, then read.
+
+    Corpora are prepared once and read many times; readers get column pruning, pushed filters
+    and as many splits as the files have.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    with _lock:
+        if key not in _prepared:
+            path = scratch_path(spark, "corpus")
+            relations_from(table(spark, sf_dir, "documents")).write.parquet(path)
+            _prepared[key] = path
+    return spark.read.parquet(_prepared[key])
 
 
 def test_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +124,5 @@ def scored(rows: DataFrame, run: int) -> DataFrame:
             CAST(1 + (id * 31 + c * 17 + {run * 7}) % 97
                  + IF(c = label_num AND (id + {run}) % 3 <> 0, 97, 0) AS DOUBLE))"""
     )
-    total = F.aggregate("_w", F.lit(0.0), lambda s, x: s + x)
-    return rows.withColumn("_w", weights).withColumn(
-        "probs", F.transform("_w", lambda x: x / total)
-    ).drop("_w")
+    probs = let(weights, lambda w: let(total(w), lambda t: F.transform(w, lambda x: x / t)))
+    return rows.withColumn("probs", probs)

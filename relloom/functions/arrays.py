@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,12 @@ def log_sum_exp(logits: Column) -> Column:
 def argmax(values: Column) -> Column:
     """0-based index of the largest value, the first one on ties."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+
+
+def explode_once(df: DataFrame, keep: list[str], values: Column, pos: str, value: str) -> DataFrame:
+    """``keep`` columns with one row per element of a computed array.
+
+    The plain explode makes Spark infer a filter on the array's size below it, and an array
+    that is computed there is computed twice. The outer form has no such filter.
+    """
+    return df.select(*keep, F.posexplode_outer(values).alias(pos, value)).where(F.col(pos).isNotNull())

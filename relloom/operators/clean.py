@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relloom import rules
+from relloom.functions.arrays import explode_once
 from relloom.functions.text import after, between, words
 from relloom.operators.dedup import drop_listed
 from relloom.operators.parse import parse_entities
@@ -133,7 +134,7 @@ def remove_stop_words(
 
 def _remove_by_join(df: DataFrame, stop_words: DataFrame, parts: Column) -> DataFrame:
     listed = stop_words.select(F.col(stop_words.columns[0]).alias("_word")).distinct()
-    exploded = df.select("id", F.posexplode(parts).alias("_pos", "_word"))
+    exploded = explode_once(df.repartition("id"), ["id"], parts, "_pos", "_word")
     kept = (
         exploded.join(listed, "_word", "left_anti")
         .groupBy("id")
@@ -206,13 +207,13 @@ def mask_other_persons(df: DataFrame, names: DataFrame, salts: int = 16) -> Data
     small = names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     pieces = F.split("sentence", r" ?\[ENT\] ?| ?\[/ENT\] ?")
     longest = names.agg(F.coalesce(F.max(F.size(F.split("name", " "))), F.lit(1))).scalar()
-    texts = df.select("id", "subject_entity", "object_entity", F.posexplode(pieces).alias("piece", "text"))
+    texts = explode_once(df, ["id", "subject_entity", "object_entity"], pieces, "piece", "text")
     texts = texts.where("text <> subject_entity AND text <> object_entity")
     # From every word the words that may belong to a name starting there.
     tails = F.expr("transform(_words, (w, i) -> slice(_words, i + 1, _longest))")
+    parts = texts.select("id", "piece", F.split("text", " ").alias("_words"), longest.alias("_longest"))
     spans = (
-        texts.select("id", "piece", F.split("text", " ").alias("_words"), longest.alias("_longest"))
-        .select("id", "piece", F.posexplode(tails).alias("pos", "tail"))
+        explode_once(parts, ["id", "piece"], tails, "pos", "tail")
         .select("id", "piece", "pos", "tail", F.explode(F.sequence(F.lit(1), F.size("tail"))).alias("n"))
         .select("id", "piece", "pos", "n", F.expr("array_join(slice(tail, 1, n), ' ')").alias("name"))
     )

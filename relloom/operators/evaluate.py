@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relloom import rules
-from relloom.functions.arrays import argmax, let, log_sum_exp, softmax, total
+from relloom.functions.arrays import argmax, explode_once, let, log_sum_exp, softmax, total
 from relloom.operators.parse import decode_labels
 from relloom.operators.ranking import running_totals
 
@@ -62,7 +62,7 @@ def class_auprc(df: DataFrame, probs: str = "probs", label: str = "label_num") -
     cumulated, and a class with many points is spread over tasks.
     """
     points = (
-        df.select(label, F.posexplode(probs).alias("c", "p"))
+        explode_once(df, [label], F.col(probs), "c", "p")
         .groupBy("c", "p")
         .agg(F.count_if(F.col(label) == F.col("c")).alias("pos"), F.count(F.lit(1)).alias("n"))
     )

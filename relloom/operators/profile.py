@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relloom import rules
+from relloom.functions.arrays import explode_once
 from relloom.operators.ranking import ranked
 from relloom.session import lookup
 
@@ -145,7 +146,8 @@ def histogram(df: DataFrame, value: Column, bins: int = 10) -> DataFrame:
 
 
 def token_counts_table(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words = explode_once(df, [], F.col(tokens), "pos", "token")
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_tokens(df: DataFrame, k: int = 10, tokens: str = "tokens") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relloom import rules
-from relloom.functions.arrays import let
+from relloom.functions.arrays import explode_once, let
 from relloom.functions.text import hash_order, share_digits
 from relloom.operators.profile import length_stats, token_counts_table
 from relloom.session import BROADCAST_ROWS
@@ -71,7 +71,7 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, vocab_size: int, tokens: str
     they are. The vocabulary is broadcast if ``vocab_size``, its row bound, is small.
     """
     side = F.broadcast(vocab) if vocab_size <= BROADCAST_ROWS else vocab
-    exploded = df.select("id", F.posexplode(tokens).alias("pos", "token")).repartition("id")
+    exploded = explode_once(df.repartition("id"), ["id"], F.col(tokens), "pos", "token")
     unk = F.lit(rules.RESERVED.index(rules.UNK))
     ids = (
         exploded.join(side, "token", "left")
