@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from relloom import rules
 from relloom.catalog.base import LABEL_LIST, query, scored_cte, with_rel
 from relloom.catalog.cleaning import DEDUP_RAW, PARSED_COLS, parsed
-from relloom.catalog.scoring import ENSEMBLE, WEIGHTS, run_rows
+from relloom.catalog.scoring import WEIGHTS, run_rows
 from relloom.corpus import raw, relations, scored, test_relations
 from relloom.operators.evaluate import predict_labels
-from relloom.plans.prepare import ensemble_files, prepare_files
+from relloom.plans.prepare import prepare_files
 from relloom.session import scratch_path
 from relloom.sources import relations as src
 from relloom.sources import runs as rn
@@ -22,11 +22,9 @@ from relloom.sources import runs as rn
 )
 def csv(spark, sf):
     path = scratch_path(spark, "relations")
-    src.write_relations(parsed(spark, sf), path)
-    rows = spark.read.option("header", True).csv(path).columns
-    assert set(rows) == set(parsed(spark, sf).columns)
-    out = spark.read.schema(parsed(spark, sf).schema).option("header", True).option("escape", '"').csv(path)
-    return out.select("id", "sentence", "source", "label", "subject_entity", "object_entity")
+    columns = [field.split()[0] for field in src.PARSED.split(", ")]
+    src.write_relations(parsed(spark, sf).select(columns), path)
+    return src.read_relations(spark, path, "parsed").select("id", "sentence", "source", "label", "subject_entity", "object_entity")
 
 
 @query("prepare_files", with_rel(f"SELECT {PARSED_COLS} FROM raw_first", DEDUP_RAW))
@@ -95,7 +93,7 @@ def _write_runs(spark, sf) -> str:
     rows = relations(spark, sf).select("id", "label_num")
     for run, weight in WEIGHTS.items():
         part = predict_labels(scored(rows, run)).select("id", "pred_label", "probs")
-        rn.write_submission(part, base, f"run{run}_epoch={run}-f1={weight}_{weight}_")
+        rn.write_submission(part, base, f"run{run}_epoch={run}_{weight}_f1={weight}")
     return base
 
 
@@ -103,23 +101,21 @@ def _write_runs(spark, sf) -> str:
     "read_runs",
     with_rel(
         " UNION ALL ".join(
-            f"""SELECT '{run}' AS run_no, id, list_position(probs, list_max(probs)) - 1 AS best,
-                  round(list_sum(probs), 9) AS total, 1 AS files FROM run{run}"""
-            for run in WEIGHTS
+            f"""SELECT '{run}' AS run_no, CAST({weight} AS DOUBLE) AS weight, '{weight}' AS checkpoint_score, id,
+                  list_position(probs, list_max(probs)) - 1 AS best, round(list_sum(probs), 9) AS total FROM run{run}"""
+            for run, weight in WEIGHTS.items()
         ),
         *[scored_cte(run, f"run{run}") for run in WEIGHTS],
     ),
 )
 def runs(spark, sf):
     """Prediction files written as CSV with list text, read back and parsed."""
-    base = _write_runs(spark, sf)
-    rows = spark.read.schema(rn.PREDICTIONS).option("header", True).option("escape", '"').csv(base)
-    probs = rn.parse_probs()
+    rows = rn.read_runs(spark, _write_runs(spark, sf), layout="folders")
     return rows.select(
-        F.regexp_extract("run", "^run([0-9])", 1).alias("run_no"), "id",
-        (F.array_position(probs, F.array_max(probs)) - 1).alias("best"),
-        F.round(F.aggregate(probs, F.lit(0.0), lambda s, x: s + x), 9).alias("total"),
-        F.lit(1).alias("files"),
+        F.regexp_extract("run", "^run([0-9])", 1).alias("run_no"), "weight",
+        "checkpoint_score", "id",
+        (F.array_position("probs", F.array_max("probs")) - 1).alias("best"),
+        F.round(F.aggregate("probs", F.lit(0.0), lambda s, x: s + x), 9).alias("total"),
     )
 
 
@@ -139,6 +135,3 @@ def submission(spark, sf):
     rn.write_submission(out, base, "last")
     rows = spark.read.schema(rn.PREDICTIONS).option("header", True).option("escape", '"').csv(base)
     return rows.select("id", "pred_label", F.round(F.array_max(rn.parse_probs()), 9).alias("top"))
-
-
-del ENSEMBLE, ensemble_files

@@ -19,8 +19,8 @@ def running_totals(
 ) -> DataFrame:
     """Add ``name`` (total up to and including the row) and ``name_total`` (of the group).
 
-    ``order`` must tell all rows of a group apart. The placed rows are checkpointed: the
-    part numbers are read twice and must not change when an executor is lost.
+    ``order`` must tell all rows of a group apart. The placed rows are written out: the part
+    numbers are read twice and must not change when an executor is lost.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).asc() for c in group]

@@ -13,6 +13,7 @@ from relloom.operators.parse import encode_labels, parse_entities
 from relloom.operators.split import no_split, score_split, stratified_split
 from relloom.operators.tokens import pad_truncate, pair_input
 from relloom.plans.config import Config
+from relloom.session import materialise
 from relloom.sources.relations import read_relations, write_relations
 from relloom.sources.runs import read_runs
 
@@ -48,13 +49,14 @@ def training_rows(rows: DataFrame, cfg: Config) -> DataFrame:
     """
     if cfg.valid_split_beforehand or cfg.augment_after_split:
         if not cfg.valid_split_beforehand:
-            rows = clean(rows, cfg.select_DC, train=True)
+            rows = materialise(clean(rows, cfg.select_DC, train=True))
         parts = split_rows(rows, cfg)
         train, valid = parts.where("split = 'train'"), parts.where("split = 'valid'")
         if cfg.valid_split_beforehand:
             train, valid = clean(train, cfg.select_DC, train=True), clean(valid, cfg.select_DC)
         return augment(train, cfg.select_DA).unionByName(valid)
-    return split_rows(augment(clean(rows, cfg.select_DC, train=True), cfg.select_DA), cfg)
+    # A split reads its input more than once, so what was cleaned is written first.
+    return split_rows(materialise(augment(clean(rows, cfg.select_DC, train=True), cfg.select_DA)), cfg)
 
 
 def encoded_rows(rows: DataFrame, cfg: Config) -> DataFrame:

@@ -40,7 +40,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="relloom-")
-    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
@@ -51,9 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later reads see one fixed set of rows, whatever executor is lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a step's rows to the shared folder and go on from there.
+
+    Later reads see one fixed set of rows, whatever executor is lost, and only the columns
+    they need.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -11,6 +11,7 @@ PARSED = (
     " object_start_idx int, object_end_idx int, object_type string"
 )
 SCORED = PARSED + ", prob_1 double"
+# Column order of the files.
 SCHEMAS = {"raw": RAW, "parsed": PARSED, "scored": SCORED}
 
 
@@ -23,8 +24,12 @@ def read_relations(spark: SparkSession, path: str, kind: str = "raw", multi_line
     return (
         spark.read.schema(SCHEMAS[kind])
         .option("header", True)
+        # Columns in another order are an error, not a mix-up.
+        .option("enforceSchema", False)
         .option("multiLine", multi_line)
         .option("escape", '"')
+        # Only a missing value is NULL; a quoted empty text is a text.
+        .option("nullValue", "\u0001")
         .option("mode", "FAILFAST")
         .csv(path)
     )
@@ -34,8 +39,7 @@ def write_relations(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """CSV for exchange, parquet for arrays and for anything read again."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        # The empty string and NULL are different values; quoted "" is the former.
-        writer.option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:
