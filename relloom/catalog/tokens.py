@@ -10,6 +10,7 @@ from relloom.catalog.cleaning import BASE, parsed
 from relloom.functions.text import share_digits
 from relloom.operators import clean as cl
 from relloom.operators import tokens as tk
+from relloom.rules import RESERVED, special_tokens
 
 VOCAB_SIZE = 2000
 PAIR = """pair AS (SELECT id, list_concat(list_concat(list_concat(['[CLS]'],
@@ -91,6 +92,23 @@ def vocab(spark, sf):
     return tk.build_vocab(tk.tokenize(parsed(spark, sf)), size=VOCAB_SIZE)
 
 
+@query(
+    "build_vocab_with_tags",
+    with_rel(
+        f"""SELECT CAST(row_number() OVER (ORDER BY part, less, place, token) - 1 AS INT) AS token_id, token FROM (
+              SELECT 1 AS part, -n AS less, 0 AS place, token FROM (
+                SELECT token, count(*) AS n FROM (SELECT unnest(string_split({BASE}, ' ')) AS token FROM rel)
+                WHERE NOT list_contains({RESERVED + special_tokens()}, token)
+                GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB_SIZE})
+              UNION ALL SELECT 0, 0, unnest(range(0, {len(RESERVED)})), unnest({RESERVED})
+              UNION ALL SELECT 2, 0, unnest(range(0, {len(special_tokens())})), unnest({special_tokens()}))"""
+    ),
+)
+def tagged_vocab(spark, sf):
+    rows = tk.tokenize(cl.mark_entities(parsed(spark, sf), "base"))
+    return tk.build_vocab(rows, size=VOCAB_SIZE, tags=special_tokens())
+
+
 def encoded(spark, sf) -> DataFrame:
     rows = tk.tokenize(parsed(spark, sf)).select("id", "tokens")
     return tk.encode_tokens(rows, tk.build_vocab(rows, size=VOCAB_SIZE), VOCAB_SIZE)

@@ -13,7 +13,7 @@ from relloom.functions.arrays import explode_once
 from relloom.functions.text import after, between, words
 from relloom.operators.dedup import drop_listed
 from relloom.operators.parse import parse_entities
-from relloom.session import BROADCAST_ROWS, materialise
+from relloom.session import BROADCAST_ROWS, materialise, salted_join
 
 # More stop words than this are joined instead of written into the expression.
 INLINE_WORDS = 10_000
@@ -116,9 +116,8 @@ def remove_stop_words(
 ) -> DataFrame:
     """Drop listed words and join the rest by blanks; words are blank-separated or a tokens column.
 
-    A short list is a hash set inside the expression. A longer one is a table: the tokens are
-    matched by an anti join, after the rows were placed by ``id`` so that they come back
-    together without a second shuffle of the exploded tokens.
+    A short list is a hash set inside the expression; a longer one is a table that the
+    exploded words are matched against, and the rest is put together again by ``id``.
     """
     parts = F.col(tokens) if tokens else words(F.col("sentence"))
     if isinstance(stop_words, DataFrame):
@@ -134,9 +133,9 @@ def remove_stop_words(
 
 def _remove_by_join(df: DataFrame, stop_words: DataFrame, parts: Column) -> DataFrame:
     listed = stop_words.select(F.col(stop_words.columns[0]).alias("_word")).distinct()
-    exploded = explode_once(df.repartition("id"), ["id"], parts, "_pos", "_word")
+    exploded = explode_once(df, ["id"], parts, "_pos", "_word")
     kept = (
-        exploded.join(listed, "_word", "left_anti")
+        salted_join(exploded, listed, "_word", "left_anti")
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("_pos", "_word"))).alias("_kept"))
         .select("id", F.array_join(F.col("_kept._word"), " ").alias("_text"))
@@ -196,12 +195,12 @@ def person_names(df: DataFrame) -> DataFrame:
     return name.distinct()
 
 
-def mask_other_persons(df: DataFrame, names: DataFrame, salts: int = 16) -> DataFrame:
+def mask_other_persons(df: DataFrame, names: DataFrame) -> DataFrame:
     """Replace listed names outside the two tagged entities by ``[PER]``; the tags go away.
 
     Names are matched on whole blank-separated words, the longest one first from the left.
     The name list grows with the corpus: a list found small is broadcast, a longer one is
-    joined by shuffle, and a frequent word is then spread over ``salts`` join keys.
+    joined by shuffle, and a frequent word is then spread over several join keys.
     """
     names = materialise(names.select("name").distinct())
     small = names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -220,9 +219,7 @@ def mask_other_persons(df: DataFrame, names: DataFrame, salts: int = 16) -> Data
     if small:
         found = spans.join(F.broadcast(names), "name", "left_semi")
     else:
-        spread = names.select("name", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-        salted = spans.withColumn("_salt", F.pmod(F.xxhash64("id", "pos"), F.lit(salts)).cast("int"))
-        found = salted.join(spread, ["name", "_salt"], "left_semi")
+        found = salted_join(spans, names, "name", "left_semi")
     hit = F.struct("piece", "pos", (-F.col("n")).alias("less"))
     hits = found.groupBy("id").agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
     # Left to right, longest first; a name that starts inside a taken one is skipped.

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from relloom.session import lookup, salted_join
+
 EXACT = ["sentence", "subject_entity", "object_entity", "source", "label"]
 NO_LABEL = ["sentence", "subject_entity", "object_entity"]
 
@@ -56,7 +58,8 @@ def relabelled(df: DataFrame) -> DataFrame:
     keys = [*NO_LABEL, "source"]
     first = _per_key(df, [*keys, "label"]).select("sentence", "first_id")
     later = first.join(_per_key(df, keys).select("first_id"), "first_id", "left_anti")
-    return duplicates(df, keys).join(later.select("sentence").distinct(), "sentence", "left_semi")
+    sentences = later.select("sentence").distinct()
+    return salted_join(duplicates(df, keys), sentences, "sentence", "left_semi").select(df.columns)
 
 
 def _conflict_ids(df: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def label_conflicts(df: DataFrame) -> DataFrame:
 
 def _conflict_losers(df: DataFrame) -> DataFrame:
     """Ids that lose: per conflicting key the label that is rarest in the corpus wins."""
-    counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("label_rows"))
+    counts = lookup(df.groupBy("label").agg(F.count(F.lit(1)).alias("label_rows")))
     rank = F.row_number().over(W.partitionBy(*NO_LABEL).orderBy("label_rows", "label", "id"))
     ranks = _conflict_ids(df).join(counts, "label").withColumn("_rank", rank)
     return ranks.where("_rank > 1").select("id")

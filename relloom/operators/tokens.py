@@ -5,6 +5,8 @@ Operators work on any ``ARRAY<STRING>`` column; blank and character tokens are b
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from relloom import rules
 from relloom.functions.arrays import explode_once, let
 from relloom.functions.text import hash_order, share_digits
 from relloom.operators.profile import length_stats, token_counts_table
-from relloom.session import BROADCAST_ROWS
+from relloom.session import BROADCAST_ROWS, salted_join
 
 
 def tokens_of(text: Column, kind: str = "blank") -> Column:
@@ -48,34 +50,41 @@ def pair_input(df: DataFrame, single: bool = False, subject_first: bool = False)
     return df.withColumns({"tokens": F.concat(first, second), "segment_ids": segments})
 
 
-def build_vocab(df: DataFrame, tokens: str = "tokens", size: int = 32_000) -> DataFrame:
-    """The ``size`` most frequent tokens with ids behind the reserved ones.
+def build_vocab(
+    df: DataFrame, tokens: str = "tokens", size: int = 32_000, tags: Sequence[str] = ()
+) -> DataFrame:
+    """The ``size`` most frequent tokens with ids behind the reserved ones, ``tags`` behind those.
 
     Only the token counts shuffle; the top list is cut by a bounded sort before it is numbered.
     """
-    counts = token_counts_table(df, tokens).where(~F.col("token").isin(*rules.RESERVED))
+    counts = token_counts_table(df, tokens).where(~F.col("token").isin(*rules.RESERVED, *tags))
     top = counts.orderBy(F.col("n").desc(), "token").limit(size)
     # At most ``size`` rows are gathered and numbered here.
-    numbered = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "token"))).alias("t"))
-    body = numbered.select(F.posexplode("t").alias("pos", "t")).select(
-        (F.col("pos") + len(rules.RESERVED)).cast("int").alias("token_id"), F.col("t.token").alias("token")
+    listed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "token"))).alias("t"))
+    every = F.concat(
+        F.array(*[F.lit(t) for t in rules.RESERVED]),
+        F.col("t.token"),
+        F.array(*[F.lit(t) for t in tags]).cast("array<string>"),
     )
-    fixed = df.sparkSession.createDataFrame(list(enumerate(rules.RESERVED)), "token_id int, token string")
-    return fixed.unionByName(body)
+    return listed.select(F.posexplode(every).alias("token_id", "token"))
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, vocab_size: int, tokens: str = "tokens") -> DataFrame:
     """Add ``input_ids``; a token outside the vocabulary gets the id of ``[UNK]``.
 
-    Rows are placed by id before they are exploded, so the tokens of a row are gathered where
-    they are. The vocabulary is broadcast if ``vocab_size``, its row bound, is small.
+    The vocabulary is broadcast if ``vocab_size``, its row bound, is small. Rows are then
+    placed by id before they are exploded, so the tokens of a row are gathered where they are.
+    A larger vocabulary is joined by shuffle, with frequent tokens spread over several keys.
     """
-    side = F.broadcast(vocab) if vocab_size <= BROADCAST_ROWS else vocab
-    exploded = explode_once(df.repartition("id"), ["id"], F.col(tokens), "pos", "token")
+    if vocab_size <= BROADCAST_ROWS:
+        exploded = explode_once(df.repartition("id"), ["id"], F.col(tokens), "pos", "token")
+        matched = exploded.join(F.broadcast(vocab), "token", "left")
+    else:
+        exploded = explode_once(df, ["id"], F.col(tokens), "pos", "token")
+        matched = salted_join(exploded, vocab, "token", "left")
     unk = F.lit(rules.RESERVED.index(rules.UNK))
     ids = (
-        exploded.join(side, "token", "left")
-        .select("id", F.struct("pos", F.coalesce("token_id", unk).alias("token_id")).alias("t"))
+        matched.select("id", F.struct("pos", F.coalesce("token_id", unk).alias("token_id")).alias("t"))
         .groupBy("id")
         .agg(F.sort_array(F.collect_list("t")).alias("t"))
         .select("id", F.col("t.token_id").alias("input_ids"))
@@ -155,22 +164,24 @@ def mask_tokens(
     share: float = 0.15,
     seed: int = 42,
     special: int = len(rules.RESERVED),
+    tags_from: int | None = None,
 ) -> DataFrame:
     """Masked-token training rows: ``masked_ids`` and ``target_ids`` (-100 where nothing is asked).
 
-    Ids below ``special`` are never chosen. Of the chosen ones 80 % become the mask, 10 % a
+    Ids below ``special`` and from ``tags_from`` on are never chosen. Of the chosen ones 80 % become the mask, 10 % a
     random id, 10 % stay. All draws are hashes of (seed, id, position).
     """
     mask_id = rules.RESERVED.index(rules.MASK)
+    end = vocab_size if tags_from is None else tags_from
 
     def draw(i: Column, nth: int) -> Column:
         return F.substring(hash_order(seed, F.col("id"), i), 1 + 8 * nth, 8)
 
     def chosen(x: Column, i: Column) -> Column:
-        return (x >= special) & (draw(i, 0) < share_digits(share))
+        return (x >= special) & (x < end) & (draw(i, 0) < share_digits(share))
 
     def masked(x: Column, i: Column) -> Column:
-        other = special + F.conv(draw(i, 2), 16, 10).cast("long") % (vocab_size - special)
+        other = special + F.conv(draw(i, 2), 16, 10).cast("long") % (end - special)
         return (
             F.when(~chosen(x, i), x)
             .when(draw(i, 1) < share_digits(0.8), F.lit(mask_id))
@@ -226,12 +237,14 @@ def token_report(df: DataFrame, kinds: tuple[str, ...] = ("blank", "character"),
             tokens, chars=F.length(column), words=F.size("tokens")
         ).withColumn("tokenizer", F.lit(kind))
         counts = token_counts_table(tokens, "tokens")
-        distinct = counts.agg(F.count(F.lit(1)).alias("distinct_tokens")).withColumn("tokenizer", F.lit(kind))
         top = counts.orderBy(F.col("n").desc(), "token").limit(10)
-        top = top.agg(
-            F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "token"))).alias("t")
-        ).select(F.col("t.token").alias("top_tokens"), F.lit(kind).alias("tokenizer"))
-        return stats.join(distinct, "tokenizer").join(top, "tokenizer")
+        listed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "token"))).alias("t"))
+        return stats.withColumns(
+            {
+                "distinct_tokens": counts.agg(F.count(F.lit(1)).alias("n")).scalar(),
+                "top_tokens": listed.select(F.col("t.token").alias("t")).scalar(),
+            }
+        )
 
     out = one(kinds[0])
     for kind in kinds[1:]:

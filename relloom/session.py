@@ -67,3 +67,15 @@ def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     kept = materialise(df)
     return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, salts: int = 16) -> DataFrame:
+    """Join on a key a large part of ``left`` may share: its rows spread over ``salts`` tasks.
+
+    ``right`` holds each key once and is repeated per salt; ``how`` must keep left rows only
+    by key (inner, left, left_semi, left_anti). The salt is taken from the row itself, so a
+    retried task gives the same rows.
+    """
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", salt).join(repeated, [key, "_salt"], how).drop("_salt")
