@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import threading
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,11 +91,15 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     with _lock:
-        if key not in _prepared:
-            path = scratch_path(spark, "corpus")
-            relations_from(table(spark, sf_dir, "documents")).write.parquet(path)
-            _prepared[key] = path
-    return spark.read.parquet(_prepared[key])
+        if key in _prepared:
+            try:
+                return spark.read.parquet(_prepared[key])
+            except AnalysisException:
+                pass  # the shared folder was cleared: prepare it again
+        path = scratch_path(spark, "corpus")
+        relations_from(table(spark, sf_dir, "documents")).write.parquet(path)
+        _prepared[key] = path
+    return spark.read.parquet(path)
 
 
 def test_relations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,7 +206,9 @@ def mask_other_persons(df: DataFrame, names: DataFrame) -> DataFrame:
     small = names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     pieces = F.split("sentence", r" ?\[ENT\] ?| ?\[/ENT\] ?")
     longest = names.agg(F.coalesce(F.max(F.size(F.split("name", " "))), F.lit(1))).scalar()
-    texts = explode_once(df, ["id", "subject_entity", "object_entity"], pieces, "piece", "text")
+    # With broadcast names, rows placed by id keep their words where they are.
+    placed = df.repartition("id") if small else df
+    texts = explode_once(placed, ["id", "subject_entity", "object_entity"], pieces, "piece", "text")
     texts = texts.where("text <> subject_entity AND text <> object_entity")
     # From every word the words that may belong to a name starting there.
     tails = F.expr("transform(_words, (w, i) -> slice(_words, i + 1, _longest))")
@@ -240,13 +242,13 @@ def mask_other_persons(df: DataFrame, names: DataFrame) -> DataFrame:
                ELSE w END), ' '))), ' ')"""
     )
     taken = hits.select("id", chosen.alias("_chosen"))
-    placed = df.join(taken, "id", "left").withColumns(
+    rows = df.join(taken, "id", "left").withColumns(
         {
             "_taken": F.coalesce("_chosen", F.array().cast("array<struct<piece:int,pos:int,n:int>>")),
             "_pieces": pieces,
         }
     )
-    return placed.select(*[rebuilt.alias(c) if c == "sentence" else F.col(c) for c in df.columns])
+    return rows.select(*[rebuilt.alias(c) if c == "sentence" else F.col(c) for c in df.columns])
 
 
 Step = Callable[..., DataFrame]

@@ -135,26 +135,26 @@ def drop_tokens(df: DataFrame, budget: int = 150, seed: int = 42, column: str =
     tokens stays above the budget.
     """
     tokens = F.col(column)
-
-    def droppable(x: Column, i: Column) -> Column:
-        return (i >= 2) & ~x.startswith("[") & ~x.endswith("]")
-
-    def order(i: Column) -> Column:
-        return hash_order(seed, F.col("id"), i)
-
-    keys = F.sort_array(
-        F.filter(
-            F.transform(tokens, lambda x, i: F.when(droppable(x, i), order(i))), lambda k: k.isNotNull()
-        )
-    )
     excess = F.size(tokens) - budget
-    shortened = let(
-        F.get(keys, F.least(excess, F.size(keys)) - 1),
-        lambda last: F.filter(
-            tokens, lambda x, i: last.isNull() | ~droppable(x, i) | (order(i) > last)
+    # Hash of each token that may go, NULL for the others.
+    orders = F.transform(
+        tokens,
+        lambda x, i: F.when(
+            (i >= 2) & ~x.startswith("[") & ~x.endswith("]"), hash_order(seed, F.col("id"), i)
         ),
     )
-    return df.withColumn(column, F.when(excess > 0, shortened).otherwise(tokens))
+
+    def shorten(order: Column) -> Column:
+        keys = F.sort_array(F.filter(order, lambda k: k.isNotNull()))
+        last = F.get(keys, F.least(excess, F.size(keys)) - 1)
+        return let(
+            last,
+            lambda k: F.filter(
+                tokens, lambda x, i: k.isNull() | F.get(order, i).isNull() | (F.get(order, i) > k)
+            ),
+        )
+
+    return df.withColumn(column, F.when(excess > 0, let(orders, shorten)).otherwise(tokens))
 
 
 def mask_tokens(
@@ -174,8 +174,10 @@ def mask_tokens(
     mask_id = rules.RESERVED.index(rules.MASK)
     end = vocab_size if tags_from is None else tags_from
 
+    drawn = df.withColumn("_draws", F.transform(ids, lambda x, i: hash_order(seed, F.col("id"), i)))
+
     def draw(i: Column, nth: int) -> Column:
-        return F.substring(hash_order(seed, F.col("id"), i), 1 + 8 * nth, 8)
+        return F.substring(F.get(F.col("_draws"), i), 1 + 8 * nth, 8)
 
     def chosen(x: Column, i: Column) -> Column:
         return (x >= special) & (x < end) & (draw(i, 0) < share_digits(share))
@@ -189,12 +191,12 @@ def mask_tokens(
             .otherwise(x)
         )
 
-    return df.withColumns(
+    return drawn.withColumns(
         {
             "masked_ids": F.transform(ids, masked),
             "target_ids": F.transform(ids, lambda x, i: F.when(chosen(x, i), x).otherwise(-100)),
         }
-    )
+    ).drop("_draws")
 
 
 def marker_positions(df: DataFrame, marker: str = "[ENT]", column: str = "tokens") -> DataFrame:
