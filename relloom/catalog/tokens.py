@@ -155,13 +155,15 @@ def padded(spark, sf):
     "token_counts",
     with_rel(
         """SELECT id, CAST(kept AS INT) AS n_tokens,
-             CASE WHEN kept < longest THEN CAST(kept AS INT) END AS first_pad FROM padded""",
+             CASE WHEN kept < longest THEN CAST(kept AS INT) ELSE -1 END AS first_pad FROM padded""",
         PAIR, PADDED,
     ),
 )
 def counts(spark, sf):
     rows = tk.pad_truncate(tk.pair_input(parsed(spark, sf)).select("id", "tokens"), 28)
-    return tk.first_pad(tk.token_counts(rows)).select("id", "n_tokens", "first_pad")
+    return tk.first_pad(tk.token_counts(rows)).select(
+        "id", "n_tokens", F.coalesce("first_pad", F.lit(-1)).alias("first_pad")
+    )
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Session set-up, the shared scratch folder, and the size-checked broadcast."""
+"""Session set-up, the shared scratch folder, and joins that hold for any size."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup table is broadcast only after it was counted and found this small.
+# Word lists up to this many rows are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
 
 
@@ -60,13 +60,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Small side of a join: computed once, counted, and broadcast only if it is small.
+def lookup(df: DataFrame) -> DataFrame:
+    """Small side of a join, computed once and written.
 
-    Beyond ``max_rows`` the frame comes back without a hint and the join shuffles.
+    There is no hint: Spark knows the size of the written files, broadcasts them if they are
+    below its threshold, and shuffles beyond it.
     """
-    kept = materialise(df)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+    return materialise(df)
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, salts: int = 16) -> DataFrame:
