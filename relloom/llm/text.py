@@ -108,7 +108,7 @@ def shingles(h: np.ndarray) -> np.ndarray:
     out = h[:n].copy()
     for k in range(1, size):
         out = out * _M2 + h[k : k + n]
-    return mix(out + np.uint64(size) * _STEP)
+    return mix(out + np.uint64(size * int(_STEP) % 2**64))
 
 
 def lower_words(raw: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
