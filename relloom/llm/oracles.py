@@ -19,10 +19,10 @@ common AS (
 links AS (
   SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
   WHERE 100 * c >= 75 * (x.n + y.n - c)),
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (
   SELECT doc_id, doc_id AS root FROM documents
-  UNION SELECT both.b, reach.root FROM reach JOIN both ON reach.doc_id = both.a WHERE reach.root < both.b),
+  UNION SELECT sides.b, reach.root FROM reach JOIN sides ON reach.doc_id = sides.a WHERE reach.root < sides.b),
 roots AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
 FROM documents d JOIN roots USING (doc_id) LEFT JOIN sizes USING (doc_id)
@@ -85,13 +85,13 @@ def quality_sql() -> str:
 
     medians = ", ".join(
         f"(SELECT min(cell) FROM (SELECT cell, sum(count(*)) OVER (ORDER BY cell) AS upto FROM (SELECT floor({x} * "
-        f"{Q.MEDIAN_CLASSES}) AS cell FROM rows r WHERE r.g = s.g) GROUP BY cell) WHERE upto * 2 >= s.size)"
+        f"{Q.MEDIAN_CLASSES}) AS cell FROM kept_rows r WHERE r.g = s.g) GROUP BY cell) WHERE upto * 2 >= s.size)"
         f" AS cell_{x}" for x in dims
     )
     zero = ", ".join(f"0.0::DOUBLE AS c_{x}_{y}" for x, y in pairs)
     centre = ", ".join(f"(cell_{x} + 0.5) / {Q.MEDIAN_CLASSES} AS m_{x}" for x in dims)
     steps = [
-        f"sized AS (SELECT g, count(*) AS size FROM rows GROUP BY g HAVING count(*) >= {Q.LEAST})",
+        f"sized AS (SELECT g, count(*) AS size FROM kept_rows GROUP BY g HAVING count(*) >= {Q.LEAST})",
         f"middle AS (SELECT g, size, {medians} FROM sized s)",
         f"e0 AS MATERIALIZED (SELECT * FROM {factors(f'(SELECT g, {centre}, {zero} FROM middle)')})",
     ]
@@ -100,7 +100,7 @@ def quality_sql() -> str:
             [f"sum({x}) / count(*) AS m_{x}" for x in dims]
             + [f"sum({x} * {y}) / count(*) - (sum({x}) / count(*)) * (sum({y}) / count(*)) AS c_{x}_{y}" for x, y in pairs]
         )
-        placed = distance(f"(SELECT rows.*, e{k}.* EXCLUDE (g) FROM rows JOIN e{k} USING (g))")
+        placed = distance(f"(SELECT kept_rows.*, e{k}.* EXCLUDE (g) FROM kept_rows JOIN e{k} USING (g))")
         steps += [
             f"p{k} AS MATERIALIZED (SELECT *, floor(ln(dist + 1e-9) * {Q.CLASSES}) AS cell FROM {placed})",
             f"u{k} AS (SELECT g, cell, sum(count(*)) OVER (PARTITION BY g ORDER BY cell) AS upto,"
@@ -123,7 +123,7 @@ twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s)
 covered AS (
   SELECT rid, count(DISTINCT j) AS n FROM twice, LATERAL (SELECT unnest(range(i, i + 5)) AS j) GROUP BY rid),
 lined AS (
-  SELECT rid, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+  SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
 counted AS (
   SELECT rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
     CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
@@ -139,7 +139,7 @@ vectors AS (
     asin(sqrt(least(1.0::DOUBLE, n_dup_lines / (n_lines + 10.0::DOUBLE)))) AS lines,
     asin(sqrt(least(1.0::DOUBLE, n_repeat_words / (n_words + 100.0::DOUBLE)))) AS repeats
   FROM counted),
-rows AS MATERIALIZED (SELECT g, len, symbols, lines, repeats FROM vectors WHERE NOT base_failed),
+kept_rows AS MATERIALIZED (SELECT g, len, symbols, lines, repeats FROM vectors WHERE NOT base_failed),
 """
         + ",\n".join(steps)
         + f"""

@@ -60,7 +60,7 @@ def _events(events: DataFrame) -> DataFrame:
 
 def _keys(captures: DataFrame, url_col: str) -> DataFrame:
     """(kind, value) rows of each distinct (url, at)."""
-    h = host(F.col(url_col))
+    h = F.col("_host")
     labels = F.split(h, r"\.")
     suffixes = F.when(
         F.size(labels) >= 2,
@@ -70,11 +70,12 @@ def _keys(captures: DataFrame, url_col: str) -> DataFrame:
         ),
     ).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)"))
     own = F.array(
-        F.struct(F.lit("url").alias("kind"), location(F.col(url_col)).alias("value")),
+        F.struct(F.lit("url").alias("kind"), location(F.col("_url")).alias("value")),
         F.struct(F.lit("host").alias("kind"), h.alias("value")),
     )
-    return captures.where(h.isNotNull()).select(
-        F.col(url_col).alias("url"), "at", F.explode(F.concat(own, suffixes)).alias("k")
+    named = captures.select(F.col(url_col).alias("_url"), "at", host(F.col(url_col)).alias("_host")).where("_host IS NOT NULL")
+    return named.select(
+        F.col("_url").alias("url"), "at", F.explode(F.concat(own, suffixes)).alias("k")
     ).select("url", "at", "k.kind", "k.value")
 
 
@@ -150,29 +151,29 @@ def reported_entries(pages: DataFrame) -> DataFrame:
 
 BLOCKED_SQL = r"""
 WITH parsed AS (
-  SELECT page_id, url, page_id * 7919 % 730 AS at,
+  SELECT page_id, url, page_id * 7919 % 730 AS "at",
     nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '.'), '') AS host,
     regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path
   FROM pages),
 events AS (
-  SELECT DISTINCT ON (list, kind, value, at) * FROM (
+  SELECT list, kind, value, "at", bool_or(active) AS active FROM (
     SELECT ['adult', 'malware', 'spam'][(page_id // 3) % 3 + 1] AS list,
       ['url', 'host', 'domain'][page_id % 3 + 1] AS kind,
       CASE page_id % 3 WHEN 0 THEN host || path WHEN 1 THEN host
            ELSE regexp_replace(host, '^(?:www|m|blog)\.', '') END AS value,
-      page_id * 104729 % 730 AS at, (page_id // 9) % 2 = 0 AS active FROM parsed)
-  ORDER BY list, kind, value, at, active DESC),
-spans AS (SELECT *, lead(at) OVER (PARTITION BY list, kind, value ORDER BY at) AS until FROM events),
+      page_id * 104729 % 730 AS "at", (page_id // 9) % 2 = 0 AS active FROM parsed)
+  GROUP BY ALL),
+spans AS (SELECT *, lead("at") OVER (PARTITION BY list, kind, value ORDER BY "at") AS until FROM events),
 keys AS (
-  SELECT page_id, at, 'url' AS kind, host || path AS value FROM parsed
-  UNION ALL SELECT page_id, at, 'host', host FROM parsed
-  UNION ALL SELECT page_id, at, 'domain', array_to_string(string_split(host, '.')[i:], '.')
+  SELECT page_id, "at", 'url' AS kind, host || path AS value FROM parsed
+  UNION ALL SELECT page_id, "at", 'host', host FROM parsed
+  UNION ALL SELECT page_id, "at", 'domain', array_to_string(string_split(host, '.')[i:], '.')
   FROM parsed, LATERAL (SELECT unnest(range(1, len(string_split(host, '.')))) AS i)),
 hits AS (
   SELECT k.page_id, count(*) AS n, string_agg(DISTINCT s.list, ',' ORDER BY s.list) AS lists
   FROM keys k JOIN spans s ON k.kind = s.kind AND k.value = s.value
-   AND s.at <= k.at AND (s.until IS NULL OR k.at < s.until)
+   AND s."at" <= k."at" AND (s.until IS NULL OR k."at" < s.until)
   WHERE s.active GROUP BY k.page_id)
-SELECT p.page_id, host, at, coalesce(n, 0) AS n_active, coalesce(lists, '') AS lists, n IS NOT NULL AS blocked
+SELECT p.page_id, host, "at", coalesce(n, 0) AS n_active, coalesce(lists, '') AS lists, n IS NOT NULL AS blocked
 FROM parsed p LEFT JOIN hits h ON p.page_id = h.page_id
 """
