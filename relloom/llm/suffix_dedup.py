@@ -6,8 +6,10 @@ or another. All suffixes of the corpus need not be sorted for that:
 1. Each start p of such a string has an anchor: the smallest, leftmost one of the hashes of the
    ``GRAM``-byte runs inside [p, p + LENGTH). It depends on the string's bytes alone, so equal
    strings have equal anchors at equal offsets. Starts whose anchor occurs once are unique.
-2. The anchors that occur again are the suffix buckets. The documents that hold one are read again,
-   and each occurrence goes to its bucket with the bytes of the starts it owns, some 280 bytes.
+2. The anchors that occur again are the suffix buckets. Where all occurrences of an anchor agree in
+   all bytes of the starts they own, by a 64-bit hash, the bucket is settled, and so are occurrences
+   that agree with another one. Of the other buckets, one occurrence of each kind goes on: the
+   documents are read again for those bytes, some 280 of each.
 3. Buckets are sorted one block of them at a time (``BLOCK`` bytes, or one bucket). The occurrences
    are laid out with their anchors at multiples of ``COVER``; ranks of the cover sample, one position
    in COVER, are computed first, by doubling, to a depth of ``DEPTH`` bytes. A suffix is ordered by
@@ -15,7 +17,7 @@ or another. All suffixes of the corpus need not be sorted for that:
    the rank does not reach; long ties never have to be read. Neighbours in that order that agree
    in all of these are equal over LENGTH bytes. As the anchors align all suffixes that can be equal,
    the cover needs one residue only, where a general difference cover has about sqrt(COVER).
-4. A bucket with more than ``HOT`` occurrences is not sorted in one task: its starts are counted by
+4. A bucket with more than ``HOT`` kinds of occurrences is not sorted in one task: its starts are counted by
    digests of their strings, with partial sums before the shuffle.
 
 Texts are UTF-8 bytes; null and empty ones have none. Repeated rows are copies of each other, so
@@ -40,7 +42,7 @@ LENGTH = 200
 GRAM = 40
 COVER = 32
 DEPTH = 160
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 HOT = 20_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -70,15 +72,14 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
 
 
 def owners(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, first start, last start, anchor, its hash) of all runs of starts with one anchor.
-
-    Places count from the slice's first byte.
+    """(row, first start, last start, anchor, its hash, hash of all bytes) of all runs of starts with
+    one anchor. Places count from the slice's first byte.
     """
     grams = gram_hashes(raw)
     width = LENGTH - GRAM + 1
     none = np.empty(0, np.int64)
     if len(grams) < width:
-        return none, none, none, none, np.empty(0, np.uint64)
+        return none, none, none, none, np.empty(0, np.uint64), np.empty(0, np.uint64)
     low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     size = 1
     while size * 2 <= width:
@@ -91,36 +92,45 @@ def owners(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     anchor = anchor[ok]
     new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))) if len(ok) else none
     last = np.append(new[1:], len(ok)) - 1
-    return row[new], ok[new], ok[last], anchor[new], grams[anchor[new]]
+    lo, hi, place = ok[new], ok[last], anchor[new]
+    # Six or more gram hashes, GRAM apart and one at the end, cover all bytes of a run.
+    whole = T.mix((hi - lo).astype(np.uint64) << np.uint64(32) | (place - lo).astype(np.uint64))
+    for step in range(0, LENGTH + width - GRAM, GRAM):
+        whole = T.mix(whole ^ grams[np.minimum(lo + step, hi + LENGTH - GRAM)])
+    whole = T.mix(whole ^ grams[hi + LENGTH - GRAM])
+    return row[new], lo, hi, place, grams[place], whole
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
+    """(id, anchor, start, more, whole) of all runs: starts start to start + more; ``whole`` is a hash
+    of all bytes of those starts and of the anchor's place among them."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows, raw, at in T.slices(batch, "text"):
-                row, _, _, _, h = owners(raw, at)
+                row, lo, hi, anchor, h, whole = owners(raw, at)
                 yield pa.record_batch(
-                    [batch.column(0).slice(first, rows).take(pa.array(row)), pa.array(h.view(np.int64))], names=["id", "anchor"]
+                    [batch.column(0).slice(first, rows).take(pa.array(row)), pa.array(h.view(np.int64)),
+                     pa.array((lo - at[row]).astype(np.int32)), pa.array((hi - lo).astype(np.int16)), pa.array(whole.view(np.int64))],
+                    names=["id", "anchor", "start", "more", "whole"],
                 )
 
-    return docs.mapInArrow(run, f"id {kind}, anchor bigint")
+    return docs.mapInArrow(run, f"id {kind}, anchor bigint, start int, more smallint, whole bigint")
 
 
 def _occurrences(held: DataFrame) -> DataFrame:
-    """(anchor, id, start, offset, bytes) of the anchors each document shares with others."""
+    """(anchor, id, start, offset, bytes) of the wanted runs of each document."""
     kind = held.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(2)
             for first, rows, raw, at in T.slices(batch, "text"):
-                row, lo, hi, anchor, h = owners(raw, at)
+                row, lo, hi, anchor, h, _ = owners(raw, at)
                 sets = [wanted[first + r].values.to_numpy() for r in range(rows)]
-                key = np.concatenate([np.full(len(s), r) for r, s in enumerate(sets)]), np.concatenate(sets)
-                mine = np.unique(T.mix(key[1].view(np.uint64)) ^ key[0].astype(np.uint64))
-                hit = np.flatnonzero(np.isin(T.mix(h) ^ row.astype(np.uint64), mine))
+                places = np.concatenate([s.astype(np.int64) + at[r] for r, s in enumerate(sets)])
+                hit = np.flatnonzero(np.isin(lo, places))
                 cut = [raw[a : b + LENGTH].tobytes() for a, b in zip(lo[hit], hi[hit], strict=True)]
                 row, lo, anchor = row[hit], lo[hit], anchor[hit]
                 yield pa.record_batch(
@@ -254,22 +264,39 @@ def _tasks(df: DataFrame) -> int:
 def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, text, runs): every document with its runs (lo, hi) of repeated starts, unmerged."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    anchors = materialise(_anchors(rows.where("id IS NOT NULL")))
-    counted = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(anchors.join(counted, "anchor").select("id", "anchor", (F.col("n") > hot).alias("hot")))
+    named = rows.where("id IS NOT NULL")
+    anchors = materialise(_anchors(named))
+    counted = anchors.groupBy("anchor").agg(
+        F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")
+    ).where("n > 1")
+    shared = materialise(
+        anchors.join(counted, "anchor").select(
+            "anchor", "whole", "id", "start", "more", (F.col("low") == F.col("high")).alias("same")
+        )
+    )
+    mixed = shared.where("NOT same")
+    wholes = materialise(
+        mixed.groupBy("anchor", "whole").agg(F.count("*").alias("m"), F.min(F.struct("id", "start")).alias("one"))
+    )
+    again = wholes.where("m > 1").select("anchor", "whole")
+    settled = shared.where("same").unionByName(mixed.join(again, ["anchor", "whole"], "left_semi").select(*shared.columns))
+    # One occurrence of each kind is compared; what it finds is news only if it is the only one.
+    sizes = wholes.groupBy("anchor").agg((F.count("*") > hot).alias("hot"))
+    compared = materialise(wholes.join(sizes, "anchor").select("one.id", "one.start", "hot"))
     # One placing of the texts by id serves the reading of the occurrences and the cutting.
-    placed = rows.repartition(_tasks(rows), "id")
-    runs = None
+    placed = named.repartition(_tasks(rows), "id")
+    start = F.col("start").cast("long")
+    runs = settled.select("id", start.alias("lo"), (start + F.col("more")).alias("hi"))
     for is_hot in (False, True):
-        some = shared.where(F.col("hot") == is_hot)
+        some = compared.where(F.col("hot") == is_hot)
         if is_hot and not some.head(1):
             continue
-        wanted = some.groupBy("id").agg(F.collect_set("anchor").alias("wanted"))
+        wanted = some.groupBy("id").agg(F.collect_set("start").alias("wanted"))
         found = _occurrences(placed.join(wanted, "id").select("id", "text", "wanted"))
-        more = _counted_starts(found) if is_hot else _sorted_buckets(found)
-        runs = more if runs is None else runs.unionByName(more)
+        runs = runs.unionByName(_counted_starts(found) if is_hot else _sorted_buckets(found))
     gathered = runs.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    return placed.join(gathered, "id", "left")
+    unnamed = rows.where("id IS NULL").withColumn("runs", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
+    return placed.join(gathered, "id", "left").unionByName(unnamed)
 
 
 def spans(runs: list[dict] | None) -> list[tuple[int, int]]:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SHINGLE = 5
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
