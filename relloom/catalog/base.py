@@ -41,13 +41,17 @@ def rel_cte(source: str = "SELECT doc_id, source, text FROM documents", name: st
   SELECT doc_id, source, list_filter(regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda x: x <> '') AS all_w
   FROM ({source})
 ), {name}_cut AS (
-  SELECT doc_id, source, all_w, greatest(1, len(all_w) // {RUN}) AS k FROM {name}_tok WHERE len(all_w) >= 6
+  SELECT doc_id, source, all_w, greatest(1, len(all_w) // {RUN}) AS k FROM {name}_tok WHERE len(all_w) > 0
 ), {name}_pos AS (
   SELECT doc_id, source, all_w, k, unnest(range(0, k)) AS chunk FROM {name}_cut
-), {name}_run AS (
+), {name}_part AS (
   SELECT doc_id, source, chunk,
     CASE WHEN chunk = k - 1 THEN all_w[chunk * {RUN} + 1:] ELSE all_w[chunk * {RUN} + 1:(chunk + 1) * {RUN}] END AS w
   FROM {name}_pos
+), {name}_run AS (
+  SELECT doc_id, source, chunk,
+    CASE WHEN len(w) >= 6 THEN w ELSE list_transform(range(0, 6), lambda i: w[i % len(w) + 1]) END AS w
+  FROM {name}_part
 ), {name}_pick AS (
   SELECT *, CAST(length(w[1]) % 3 AS INT) AS a, CAST(3 + length(w[2]) % 2 AS INT) AS b, length(w[3]) % 2 AS o
   FROM {name}_run

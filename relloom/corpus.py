@@ -1,7 +1,8 @@
 """Relation corpora derived from the ``documents`` table, for queries, tests and the bench.
 
 A document's words are cut into runs of ``RUN`` words; each run is one sentence, the last run
-takes the remainder, so every word of every document is used. Two words of each run are the
+takes the remainder, so every word of every document is used. A text of fewer than six words is one run
+that repeats them up to six; a text without words has no run. Two words of each run are the
 entities. Types and label follow from word lengths, so copies of a document give duplicate
 rows, and every fifth row takes its label from the id, which gives label conflicts.
 """
@@ -44,8 +45,11 @@ def relations_from(texts: DataFrame) -> DataFrame:
             slice(all_w, i * {RUN} + 1,
                   if(i = greatest(1, size(all_w) div {RUN}) - 1, size(all_w) - i * {RUN}, {RUN})))"""
     )
-    cut = explode_once(words, ["doc_id", "source"], runs, "chunk", "w")
-    picked = cut.where(F.size("w") >= 6).selectExpr(
+    cut = explode_once(words, ["doc_id", "source"], runs, "chunk", "w").where("w[0] <> ''")
+    full = cut.withColumn(
+        "w", F.expr("if(size(w) >= 6, w, transform(sequence(0, 5), i -> w[i % size(w)]))")
+    )
+    picked = full.selectExpr(
         "doc_id", "chunk", "source", "w",
         "CAST(length(get(w, 0)) % 3 AS INT) AS a",
         "CAST(3 + length(get(w, 1)) % 2 AS INT) AS b",
@@ -58,7 +62,8 @@ def relations_from(texts: DataFrame) -> DataFrame:
         "length(array_join(slice(w, 1, b), ' ')) + 1 AS sb",
     )
     entities = spans.selectExpr(
-        f"doc_id * {RUNS_PER_DOC} + chunk AS id", "doc_id", "chunk", "sentence", "source",
+        f"""if(chunk < {RUNS_PER_DOC}, doc_id * {RUNS_PER_DOC} + chunk,
+               raise_error(concat('too many runs in document ', doc_id))) AS id""", "doc_id", "chunk", "sentence", "source",
         "IF(o = 0, wa, wb) AS subject_entity", "IF(o = 0, wb, wa) AS object_entity",
         "CAST(IF(o = 0, sa, sb) AS INT) AS subject_start_idx",
         "CAST(IF(o = 0, sb, sa) AS INT) AS object_start_idx",

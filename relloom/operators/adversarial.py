@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relloom.operators.split import attach_scores, origin_table, stratified_split
+from relloom.operators.split import origin_table, stratified_split
 
 
 def pair_text(df: DataFrame) -> DataFrame:
@@ -38,7 +38,5 @@ def adversarial_scores(
             ),
         ]
     ).fit(parts.where("split = 'train'").select("pair_text", "comes_from"))
-    scores = model.transform(pair_text(train.select(columns))).select(
-        "id", vector_to_array("probability")[1].alias("prob_1")
-    )
-    return attach_scores(train, scores)
+    scored = model.transform(pair_text(train))
+    return scored.select(*train.columns, vector_to_array("probability")[1].alias("prob_1"))

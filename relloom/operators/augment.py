@@ -70,8 +70,23 @@ def register_step(name: str, step: Callable[..., DataFrame]) -> None:
 
 
 def augment(df: DataFrame, steps: Sequence[str] = ()) -> DataFrame:
-    """Append the rows of every listed augmentation; each one sees the original rows only."""
+    """Append the rows of every listed augmentation; each one sees the original rows only.
+
+    Operators tell rows apart by ``id``: an added row gets one of its own, made from that of its
+    origin and the step (for numbers, which must not be negative, below zero), and ``origin_id``
+    names the row it comes from.
+    """
     unknown = [s for s in steps if s not in STEPS]
     if unknown:
         raise ValueError(f"unknown augmentation {unknown}")
-    return reduce(DataFrame.unionByName, [STEPS[s](df) for s in steps], df)
+    numeric = df.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+    def added(k: int, step: str) -> DataFrame:
+        rows = STEPS[step](df).withColumn("origin_id", F.col("id"))
+        own = -(F.col("id") * len(steps) + k + 1) if numeric else F.concat("id", F.lit(f"#{step}"))
+        return rows.withColumn("id", own.cast("bigint") if numeric else own)
+
+    first = df.withColumn("origin_id", F.col("id"))
+    if numeric:
+        first = first.withColumn("id", F.col("id").cast("bigint"))
+    return reduce(DataFrame.unionByName, [added(k, s) for k, s in enumerate(steps)], first) if steps else df

@@ -13,10 +13,9 @@ from relloom.functions.arrays import explode_once
 from relloom.functions.text import after, between, words
 from relloom.operators.dedup import drop_listed
 from relloom.operators.parse import parse_entities
-from relloom.session import BROADCAST_ROWS, materialise, salted_join
+from relloom.session import lookup, materialise
 
 # More stop words than this are joined instead of written into the expression.
-INLINE_WORDS = 10_000
 
 
 def _type_word(column: str) -> Column:
@@ -96,7 +95,8 @@ def normalize_types(df: DataFrame) -> DataFrame:
     )
     change = rules.literal_map({label: into for label, (_, into) in rules.OBJECT_TYPE_RULES.items()})
     label = F.col("label")
-    wrong = ~F.array_contains(allowed[label], F.col("object_type"))
+    # A missing type is not among the allowed ones; labels without a rule allow any.
+    wrong = allowed[label].isNotNull() & ~F.coalesce(F.array_contains(allowed[label], F.col("object_type")), F.lit(False))
     subject = F.when(label.startswith("per"), "PER").when(label.startswith("org"), "ORG")
     return df.withColumns(
         {
@@ -116,15 +116,14 @@ def remove_stop_words(
 ) -> DataFrame:
     """Drop listed words and join the rest by blanks; words are blank-separated or a tokens column.
 
-    A short list is a hash set inside the expression; a longer one is a table that the
-    exploded words are matched against, and the rest is put together again by ``id``.
+    A sequence is a hash set inside the expression. A table of any size is joined with the
+    exploded words, and the rest is put together again by ``id``, which must be unique. Null words
+    of either are no words, and a null sentence stays null.
     """
     parts = F.col(tokens) if tokens else words(F.col("sentence"))
     if isinstance(stop_words, DataFrame):
-        listed = stop_words.limit(INLINE_WORDS + 1).toPandas().iloc[:, 0].tolist()
-        if len(listed) > INLINE_WORDS:
-            return _remove_by_join(df, stop_words, parts)
-        stop_words = listed
+        return _remove_by_join(df, stop_words, parts)
+    stop_words = [w for w in stop_words if w is not None]
     if not stop_words:
         return df.withColumn("sentence", F.array_join(parts, " "))
     kept = F.filter(parts, lambda x: ~x.isin(*stop_words))
@@ -132,15 +131,15 @@ def remove_stop_words(
 
 
 def _remove_by_join(df: DataFrame, stop_words: DataFrame, parts: Column) -> DataFrame:
-    listed = stop_words.select(F.col(stop_words.columns[0]).alias("_word")).distinct()
+    listed = stop_words.select(F.col(stop_words.columns[0]).alias("_word")).dropna().distinct()
     exploded = explode_once(df, ["id"], parts, "_pos", "_word")
     kept = (
-        salted_join(exploded, listed, "_word", "left_anti")
+        exploded.join(listed, "_word", "left_anti")
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("_pos", "_word"))).alias("_kept"))
         .select("id", F.array_join(F.col("_kept._word"), " ").alias("_text"))
     )
-    text = F.coalesce(F.col("_text"), F.lit("")).alias("sentence")
+    text = F.when(parts.isNotNull(), F.coalesce(F.col("_text"), F.lit(""))).alias("sentence")
     return df.join(kept, "id", "left").select(
         *[text if c == "sentence" else F.col(c) for c in df.columns]
     )
@@ -199,29 +198,21 @@ def mask_other_persons(df: DataFrame, names: DataFrame) -> DataFrame:
     """Replace listed names outside the two tagged entities by ``[PER]``; the tags go away.
 
     Names are matched on whole blank-separated words, the longest one first from the left.
-    The name list grows with the corpus: a list found small is broadcast, a longer one is
-    joined by shuffle, and a frequent word is then spread over several join keys.
+    Candidates are found by a name's first word, so a long name adds no work elsewhere. The list
+    grows with the corpus: Spark broadcasts it or not by its written size, and adaptive execution
+    splits the tasks of frequent words. ``id`` must be unique.
     """
     names = materialise(names.select("name").distinct())
-    small = names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     pieces = F.split("sentence", r" ?\[ENT\] ?| ?\[/ENT\] ?")
-    longest = names.agg(F.coalesce(F.max(F.size(F.split("name", " "))), F.lit(1))).scalar()
+    heads = lookup(
+        names.select(F.split("name", " ").alias("_name")).select(F.col("_name")[0].alias("_first"), F.size("_name").alias("n"), "_name")
+    )
     # With broadcast names, rows placed by id keep their words where they are.
-    placed = df.repartition("id") if small else df
-    texts = explode_once(placed, ["id", "subject_entity", "object_entity"], pieces, "piece", "text")
+    texts = explode_once(df.repartition("id"), ["id", "subject_entity", "object_entity"], pieces, "piece", "text")
     texts = texts.where("text <> subject_entity AND text <> object_entity")
-    # From every word the words that may belong to a name starting there.
-    tails = F.expr("transform(_words, (w, i) -> slice(_words, i + 1, _longest))")
-    parts = texts.select("id", "piece", F.split("text", " ").alias("_words"), longest.alias("_longest"))
-    spans = (
-        explode_once(parts, ["id", "piece"], tails, "pos", "tail")
-        .select("id", "piece", "pos", "tail", F.explode(F.sequence(F.lit(1), F.size("tail"))).alias("n"))
-        .select("id", "piece", "pos", "n", F.expr("array_join(slice(tail, 1, n), ' ')").alias("name"))
-    )
-    if small:
-        found = spans.join(F.broadcast(names), "name", "left_semi")
-    else:
-        found = salted_join(spans, names, "name", "left_semi")
+    parts = texts.select("id", "piece", F.split("text", " ").alias("_words"))
+    starts = explode_once(parts, ["id", "piece", "_words"], F.col("_words"), "pos", "_first")
+    found = starts.join(heads, "_first").where("slice(_words, pos + 1, n) = _name")
     hit = F.struct("piece", "pos", (-F.col("n")).alias("less"))
     hits = found.groupBy("id").agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
     # Left to right, longest first; a name that starts inside a taken one is skipped.

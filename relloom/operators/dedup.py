@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relloom.session import lookup, salted_join
+from relloom.session import lookup
 
 EXACT = ["sentence", "subject_entity", "object_entity", "source", "label"]
 NO_LABEL = ["sentence", "subject_entity", "object_entity"]
@@ -59,7 +59,7 @@ def relabelled(df: DataFrame) -> DataFrame:
     first = _per_key(df, [*keys, "label"]).select("sentence", "first_id")
     later = first.join(_per_key(df, keys).select("first_id"), "first_id", "left_anti")
     sentences = later.select("sentence").distinct()
-    return salted_join(duplicates(df, keys), sentences, "sentence", "left_semi").select(df.columns)
+    return duplicates(df, keys).join(sentences, "sentence", "left_semi").select(df.columns)
 
 
 def _conflict_ids(df: DataFrame) -> DataFrame:

@@ -207,7 +207,19 @@ def loss_audit(
 
 
 def run_divergence(one: DataFrame, two: DataFrame, probs: str = "probs") -> DataFrame:
-    """Symmetric mean of the two divergences between scoring runs, summed over rows."""
-    rows = one.select("id", F.col(probs).alias("p")).join(two.select("id", F.col(probs).alias("q")), "id")
-    parts = F.zip_with("p", "q", lambda p, q: (p - q) * (F.log(p) - F.log(q)))
+    """Symmetric mean of the two divergences between scoring runs, summed over rows.
+
+    A class that both runs give 0 adds nothing, one that only one of them does makes the sum infinite.
+    An id that only one run has is an error.
+    """
+    left = one.select("id", F.col(probs).alias("p"))
+    rows = left.join(two.select("id", F.col(probs).alias("q")), "id", "full")
+    lost = F.raise_error(F.concat(F.lit("only one run has id "), F.col("id").cast("string")))
+    rows = rows.withColumn("p", F.when(F.col("p").isNull() | F.col("q").isNull(), lost).otherwise(F.col("p")))
+
+    def part(p: Column, q: Column) -> Column:
+        one_zero = (p == 0) | (q == 0)
+        return F.when(p == q, 0.0).when(one_zero, float("inf")).otherwise((p - q) * (F.log(p) - F.log(q)))
+
+    parts = F.zip_with("p", "q", part)
     return rows.agg((F.sum(total(parts)) / 2).alias("divergence"))

@@ -14,7 +14,6 @@ from relloom import rules
 from relloom.functions.arrays import explode_once, let
 from relloom.functions.text import hash_order, share_digits
 from relloom.operators.profile import length_stats, token_counts_table
-from relloom.session import BROADCAST_ROWS, salted_join
 
 
 def tokens_of(text: Column, kind: str = "blank") -> Column:
@@ -72,16 +71,13 @@ def build_vocab(
 def encode_tokens(df: DataFrame, vocab: DataFrame, vocab_size: int, tokens: str = "tokens") -> DataFrame:
     """Add ``input_ids``; a token outside the vocabulary gets the id of ``[UNK]``.
 
-    The vocabulary is broadcast if ``vocab_size``, its row bound, is small. Rows are then
-    placed by id before they are exploded, so the tokens of a row are gathered where they are.
-    A larger vocabulary is joined by shuffle, with frequent tokens spread over several keys.
+    Rows are placed by id before they are exploded: if Spark finds the vocabulary, at most
+    ``vocab_size`` rows and the reserved ones, below its broadcast size, the tokens of a row are
+    gathered where they are. Beyond it, adaptive execution splits the tasks of frequent tokens.
     """
-    if vocab_size <= BROADCAST_ROWS:
-        exploded = explode_once(df.repartition("id"), ["id"], F.col(tokens), "pos", "token")
-        matched = exploded.join(F.broadcast(vocab), "token", "left")
-    else:
-        exploded = explode_once(df, ["id"], F.col(tokens), "pos", "token")
-        matched = salted_join(exploded, vocab, "token", "left")
+    exploded = explode_once(df.repartition("id"), ["id"], F.col(tokens), "pos", "token")
+    listed = vocab.limit(vocab_size + len(rules.RESERVED)) if vocab_size else vocab
+    matched = exploded.join(listed, "token", "left")
     unk = F.lit(rules.RESERVED.index(rules.UNK))
     ids = (
         matched.select("id", F.struct("pos", F.coalesce("token_id", unk).alias("token_id")).alias("t"))

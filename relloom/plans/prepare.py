@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from relloom.operators.adversarial import adversarial_scores
 from relloom.operators.augment import augment
@@ -54,7 +55,10 @@ def training_rows(rows: DataFrame, cfg: Config) -> DataFrame:
         train, valid = parts.where("split = 'train'"), parts.where("split = 'valid'")
         if cfg.valid_split_beforehand:
             train, valid = clean(train, cfg.select_DC, train=True), clean(valid, cfg.select_DC)
-        return augment(train, cfg.select_DA).unionByName(valid)
+        more = augment(train, cfg.select_DA)
+        if "origin_id" in more.columns:
+            valid = valid.withColumn("origin_id", F.col("id"))
+        return more.unionByName(valid)
     # A split reads its input more than once, so what was cleaned is written first.
     return split_rows(materialise(augment(clean(rows, cfg.select_DC, train=True), cfg.select_DA)), cfg)
 

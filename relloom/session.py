@@ -1,4 +1,4 @@
-"""Session set-up, the shared scratch folder, and joins that hold for any size."""
+"""Session set-up, and the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Word lists up to this many rows are broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 50_000
-
 
 def local_session(cpus: int | str = "*", app: str = "relloom") -> SparkSession:
     """Session for tests and the local bench; a cluster brings its own."""
@@ -36,6 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is not None and folder.startswith("file:") and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must not be a machine-local folder on a cluster")
     if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
@@ -67,15 +64,3 @@ def lookup(df: DataFrame) -> DataFrame:
     below its threshold, and shuffles beyond it.
     """
     return materialise(df)
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, salts: int = 16) -> DataFrame:
-    """Join on a key a large part of ``left`` may share: its rows spread over ``salts`` tasks.
-
-    ``right`` holds each key once and is repeated per salt; ``how`` must keep left rows only
-    by key (inner, left, left_semi, left_anti). The salt is taken from the row itself, so a
-    retried task gives the same rows.
-    """
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(repeated, [key, "_salt"], how).drop("_salt")

@@ -1,3 +1,4 @@
+import contextlib
 import os
 import sys
 
@@ -15,6 +16,16 @@ TABLES = (
 ).split()
 
 
+@contextlib.contextmanager
+def no_broadcast(spark):
+    """Plans as for tables too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        yield
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, "relloom-tests")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relloom.operators import clean as cl
 from relloom.operators.parse import decode_labels, encode_labels, parse_entities
-from tests.conftest import PARSED
+from tests.conftest import PARSED, no_broadcast
 
 SENTENCE = "〈Something〉는 조지 해리슨이 쓰고 비틀즈가 1969년 앨범 《Abbey Road》에 담은 노래다."
 TAIL = " 가 1969년 앨범 《Abbey Road》에 담은 노래다."
@@ -109,12 +109,12 @@ def test_other_persons(rows_of):
     )
 
 
-def test_other_persons_with_a_long_name_list(rows_of, monkeypatch):
+def test_other_persons_with_a_long_name_list(rows_of):
     rows = rows_of([(i, f"a x{i} b y{i} a c a", f"x{i}", f"y{i}", "no_relation") for i in range(50)])
     names = rows.sparkSession.createDataFrame([("a",), ("c a",), ("zz",)], "name string")
     broadcast = cl.mask_other_persons(cl.mark_entities(rows), names).collect()
-    monkeypatch.setattr(cl, "BROADCAST_ROWS", 1)
-    shuffled = cl.mask_other_persons(cl.mark_entities(rows), names).collect()
+    with no_broadcast(rows.sparkSession):
+        shuffled = cl.mask_other_persons(cl.mark_entities(rows), names).collect()
     assert sorted(broadcast) == sorted(shuffled)
     assert {r.id: r.sentence for r in shuffled}[7] == "[PER] x7  b y7  [PER] [PER]"
 
@@ -184,14 +184,14 @@ def test_labels(spark):
         encode_labels(spark.createDataFrame([("no such label",)], "label string")).collect()
 
 
-def test_stop_words_as_list_table_and_join(spark, monkeypatch):
-    rows = spark.createDataFrame([(1, "a b  c a"), (2, "a"), (3, "")], "id long, sentence string")
-    words = spark.createDataFrame([("a",), ("c",)], "word string")
-    want = [(1, "b"), (2, ""), (3, "")]
-    assert sorted(map(tuple, cl.remove_stop_words(rows, ["a", "c"]).collect())) == want
-    assert sorted(map(tuple, cl.remove_stop_words(rows, words).collect())) == want
-    monkeypatch.setattr(cl, "INLINE_WORDS", 1)
+def test_stop_words_as_list_and_table(spark):
+    rows = spark.createDataFrame([(1, "a b  c a"), (2, "a"), (3, ""), (4, None)], "id long, sentence string")
+    words = spark.createDataFrame([("a",), ("c",), (None,)], "word string")
+    want = [(1, "b"), (2, ""), (3, ""), (4, None)]
+    assert sorted(map(tuple, cl.remove_stop_words(rows, ["a", "c", None]).collect())) == want
     assert sorted(map(tuple, cl.remove_stop_words(rows, words).collect())) == want
+    with no_broadcast(spark):
+        assert sorted(map(tuple, cl.remove_stop_words(rows, words).collect())) == want
 
 
 def test_chain_skips_training_steps(rows_of):

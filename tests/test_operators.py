@@ -20,6 +20,8 @@ from relloom.operators import split as sp
 from relloom.operators import tokens as tk
 from relloom.operators.adversarial import adversarial_scores
 from relloom.operators.ranking import ranked, running_totals
+from relloom.sources.runs import submission
+from tests.conftest import no_broadcast
 
 
 @pytest.fixture(scope="module")
@@ -366,13 +368,13 @@ def test_mask_tokens(spark):
     assert 0.75 < changed / asked < 0.85
 
 
-def test_encode_without_broadcast(spark, monkeypatch):
+def test_encode_without_broadcast(spark):
     df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["zz"]), (3, [])], "id long, tokens array<string>")
     vocab = tk.build_vocab(df, size=2)
     want = [(1, [5, 6, 5]), (2, [1]), (3, [])]
     assert sorted((r["id"], r["input_ids"]) for r in local(tk.encode_tokens(df, vocab, 2))) == want
-    monkeypatch.setattr(tk, "BROADCAST_ROWS", 1)
-    assert sorted((r["id"], r["input_ids"]) for r in local(tk.encode_tokens(df, vocab, 2))) == want
+    with no_broadcast(spark):
+        assert sorted((r["id"], r["input_ids"]) for r in local(tk.encode_tokens(df, vocab, 2))) == want
 
 
 def test_cut_and_markers(spark):
@@ -386,6 +388,39 @@ def test_cut_and_markers(spark):
     assert marks == {1: (0, 0), 2: (0, 0), 3: (0, 2)}
 
 
+def test_augmented_rows_have_their_own_ids(rows_of):
+    rows = rows_of([(i, "a x b y", "x", "y", "per:spouse") for i in range(4)])
+    out = aug.augment(rows, ["swap_sentence", "swap_sentence"]).collect()
+    assert len({r.id for r in out}) == len(out) == 12
+    assert sorted(r.origin_id for r in out) == sorted(3 * [0, 1, 2, 3])
+
+
+def test_incomplete_runs_are_errors(spark):
+    even = [1 / 30] * 30
+    runs = spark.createDataFrame([(1, even, 2.0), (1, even, 1.0), (2, even, 1.0)], "id long, probs array<double>, weight double")
+    assert en.ensemble(runs).count() == 2
+    with pytest.raises(Exception, match="not in all runs"):
+        en.ensemble(runs, expected=2).collect()
+    none = spark.createDataFrame([(1, even, None)], "id long, probs array<double>, weight double")
+    with pytest.raises(Exception, match="no weight"):
+        en.ensemble(none).collect()
+    sample = spark.createDataFrame([(1,), (2,)], "id long")
+    one = spark.createDataFrame([(1, "a", even)], "id long, pred_label string, probs array<double>")
+    with pytest.raises(Exception, match="no prediction"):
+        submission(sample, one).collect()
+
+
+def test_divergence_of_zero_probabilities(spark):
+    def run(rows):
+        return spark.createDataFrame(rows, "id long, probs array<double>")
+
+    one = run([(1, [0.0, 1.0])])
+    assert ev.run_divergence(one, one).first().divergence == 0
+    assert ev.run_divergence(one, run([(1, [0.5, 0.5])])).first().divergence == float("inf")
+    with pytest.raises(Exception, match="only one run"):
+        ev.run_divergence(one, run([(2, [0.0, 1.0])])).collect()
+
+
 def test_special_tokens():
     tokens = rules.special_tokens()
     assert len(tokens) == len(set(tokens)) == 51
