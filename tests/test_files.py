@@ -124,8 +124,9 @@ def test_training_table(spark):
 def test_augmented_rows_stay_out_of_valid(spark, settings):
     cfg = Config(select_DA=["swap_sentence"], **settings)
     out = training_rows(parsed(spark), cfg)
-    assert out.where("split = 'valid'").groupBy("id").count().where("count > 1").count() == 0
-    assert out.where("split = 'train'").groupBy("id").count().where("count > 1").count() > 0
+    assert out.groupBy("id").count().where("count > 1").count() == 0
+    assert out.where("split = 'valid'").where("id <> origin_id").count() == 0
+    assert out.where("split = 'train'").groupBy("origin_id").count().where("count > 1").count() > 0
     assert training_rows(parsed(spark), Config(no_valid=True)).where("split <> 'train'").count() == 0
 
 
