@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relloom.session import materialise
+from relloom.session import materialise, scratch_path
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +43,27 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+class Steps:
+    """Tables written between the steps of one job, which leave as soon as they are not needed.
+
+    The shuffle files of a step go once its rows are written, and so do the tables named in ``done``:
+    what a later step reads is in the shared folder, so a lost executor costs no more than its tasks.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, name: str, df: DataFrame, done: tuple[str, ...] = ()) -> DataFrame:
+        path = self.paths[name] = scratch_path(self.spark, name)
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+        for old in done:
+            gone = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(old))
+            gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+        return self.spark.read.schema(df.schema).parquet(path)
