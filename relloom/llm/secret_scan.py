@@ -47,8 +47,11 @@ PLACEHOLDER = re.compile(
 )
 THRESHOLD = 1.0
 LITERAL_LEAST = 6
-#: A name, an optional closing quote, the sign of assignment; the value is lexed from its end.
-PAIR = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]{0,63})[\"']?[ \t]{0,8}(?::=|=>|[:=])[ \t]{0,8}(?![=:/])", re.ASCII)
+#: A name, an optional closing quote, the sign of assignment; the value is lexed from its end. Names and
+#: runs of blanks have any length: a name is tried at the start of its run only, and nothing is given back.
+PAIR = re.compile(
+    r"(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)[\"']?+[ \t]*+(?::=|=>|[:=])[ \t]*+(?![=:/])", re.ASCII
+)
 QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'")
 JOINER = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'])")
 BARE = re.compile(r"[A-Za-z0-9+/_.=\-]+")

@@ -323,6 +323,24 @@ def test_assignments(text, found):
     assert all(x not in secret_scan.masked(text) for x in found)
 
 
+@pytest.mark.parametrize("text, found", [
+    ('db_pwd            = "s3cr3tValue9"', ["s3cr3tValue9"]),
+    ('private_key:\t\t\t          \'Zk3j9dK2lm0Qp\'', ["Zk3j9dK2lm0Qp"]),
+    ("passphrase" + " " * 5000 + "=" + " " * 5000 + "Zk3j9dK2lm0Qp", ["Zk3j9dK2lm0Qp"]),
+    ("passphrase_" + "of_the_store_" * 8 + 'x = "Zk3j9dK2lm0Qp"', ["Zk3j9dK2lm0Qp"]),
+    ("run --pwd=Zk3j9dK2lm0Qp 9.pwd=Zk3j9dK2lm0Qp", ["Zk3j9dK2lm0Qp", "Zk3j9dK2lm0Qp"]),
+    ('title             = "Zk3j9dK2lm0Qp"', []),
+])
+def test_assignments_of_any_width(text, found):
+    assert [text[a:b] for a, b, _, _ in secret_scan.literals(text)] == found
+    assert all(x not in secret_scan.masked(text) for x in found)
+
+
+def test_assignments_take_linear_time():
+    for text in ("a" * 400_000, "a." * 200_000, "-" * 400_000, "a" + " " * 400_000, ("a" + " " * 50) * 8000, "a = " * 100_000):
+        assert secret_scan.literals(text + ":") == []
+
+
 # 9. Decontamination.
 def hits_by_force(texts, items):
     windows = defaultdict(set)
