@@ -7,8 +7,9 @@ shard's text, and a suffix ends at its first sentinel. The index holds the Burro
 transform of that text as a wavelet matrix and the positions of every ``SAMPLE``-th suffix.
 All windows are searched backwards at once; rows are located by walking to a sampled position.
 
-The benchmark is read in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents for
-each block, so that what a task gets of it is bounded.
+The benchmark is read in blocks of at most ``BLOCK_WORDS`` words. Every shard is searched for all blocks,
+one after the other, in its original text, and their hits are united before spans are made: the result
+does not depend on where one block ends and the next begins. A task holds one block at a time.
 
 Rules: text with A-Z in lower case; words are runs of ``[0-9a-z]`` and non-ASCII characters; a
 window is ``WINDOW`` consecutive words of an item, or all words of a shorter item; every word inside
@@ -19,11 +20,12 @@ columns are neither read nor returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relloom.llm import text as T
@@ -207,20 +209,42 @@ def _occurrences(windows: Windows, symbols: np.ndarray, first: np.ndarray) -> tu
     return word[index.locate(rows)], which
 
 
-def _shard(windows: Windows, ids: list, parts: list) -> Iterator[tuple]:
+class Blocks:
+    """Broadcast blocks of the benchmark. Of several, one at a time is held, here and in a task."""
+
+    def __init__(self, spark: SparkSession, blocks: Iterable[Windows]):
+        self.shared: list[Broadcast] = []
+        for windows in blocks:
+            self.shared.append(spark.sparkContext.broadcast(windows))
+            self._free(self.shared[-1])
+
+    @staticmethod
+    def _free(block: Broadcast) -> None:
+        # unpersist() drops the copies of the executors; this one is the Python object, read again on demand.
+        vars(block).pop("_value", None)
+
+    def __iter__(self) -> Iterator[Windows]:
+        for block in self.shared:
+            yield block.value
+            if len(self.shared) > 1:
+                self._free(block)
+
+
+def _shard(blocks: Iterable[Windows], ids: list, parts: list) -> Iterator[tuple]:
     """Rows of the result for the documents of one shard."""
     hashes = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.uint64)
     counts = np.array([len(p[2]) for p in parts], dtype=np.int64)
     first = np.concatenate(([0], np.cumsum(counts)))
-    at, which = _occurrences(windows, windows.symbols(hashes), first)
     edge = np.zeros(len(hashes) + 1, dtype=np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + windows.lengths[which], -1)
-    hit = np.cumsum(edge[:-1]) > 0
-    doc = np.searchsorted(first, at, side="right") - 1
     per_doc: dict[int, set] = {}
-    for d, w in np.unique(np.stack((doc, which), axis=1), axis=0) if len(doc) else ():
-        per_doc.setdefault(int(d), set()).update(windows.items[w])
+    for windows in blocks:
+        at, which = _occurrences(windows, windows.symbols(hashes), first)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + windows.lengths[which], -1)
+        doc = np.searchsorted(first, at, side="right") - 1
+        for d, w in np.unique(np.stack((doc, which), axis=1), axis=0) if len(doc) else ():
+            per_doc.setdefault(int(d), set()).update(windows.items[w])
+    hit = np.cumsum(edge[:-1]) > 0
     for d, (raw, (starts, ends), h) in enumerate(parts):
         spans = []
         if d in per_doc:
@@ -241,9 +265,7 @@ def _parts(raw: np.ndarray, at: np.ndarray, rows: int) -> list[tuple]:
     return out
 
 
-def _pass(docs: DataFrame, windows: Windows, id_col: str, text_col: str) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(windows)
+def _pass(docs: DataFrame, blocks: Blocks, id_col: str, text_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = (
         f"id {id_type}, n_words bigint, spans array<struct<w0:int,w1:int,c0:int,c1:int>>, items array<string>"
@@ -259,7 +281,7 @@ def _pass(docs: DataFrame, windows: Windows, id_col: str, text_col: str) -> Data
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, ids, parts, size, kind = shared.value, [], [], 0, None
+        ids, parts, size, kind = [], [], 0, None
         for batch in batches:
             kind = batch.schema.field("id").type
             names = batch.column(0).to_pylist()
@@ -269,10 +291,10 @@ def _pass(docs: DataFrame, windows: Windows, id_col: str, text_col: str) -> Data
                 parts += own
                 size += sum(len(p[2]) for p in own)
                 if size >= SHARD_WORDS:
-                    yield batch_of(list(_shard(windows, ids, parts)), kind)
+                    yield batch_of(list(_shard(blocks, ids, parts)), kind)
                     ids, parts, size = [], [], 0
         if ids:
-            yield batch_of(list(_shard(windows, ids, parts)), kind)
+            yield batch_of(list(_shard(blocks, ids, parts)), kind)
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, schema)
@@ -302,31 +324,9 @@ def contamination(
     """(id, n_words, spans, items) for every document.
 
     ``spans``: maximal runs of hit words as word and code-point ranges, ends exclusive; ``items``:
-    ids of the items with an occurring window, as sorted strings. With several blocks the runs of
-    all of them are merged by grouping on the id, so ids must then be unique.
+    ids of the items with an occurring window, as sorted strings.
     """
-    passes = [_pass(docs, w, id_col, text_col) for w in _blocks(benchmark, item_col, item_text)]
-    if len(passes) == 1:
-        return passes[0]
-    rows = passes[0]
-    for more in passes[1:]:
-        rows = rows.unionByName(more)
-    merged = rows.groupBy("id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return merged.withColumn(
-        "spans",
-        F.expr(
-            """aggregate(spans, cast(array() as array<struct<w0:int,w1:int,c0:int,c1:int>>), (done, x) ->
-                 if(size(done) > 0 and element_at(done, -1).w1 >= x.w0,
-                    concat(slice(done, 1, size(done) - 1), array(named_struct(
-                      'w0', element_at(done, -1).w0, 'w1', greatest(element_at(done, -1).w1, x.w1),
-                      'c0', element_at(done, -1).c0, 'c1', greatest(element_at(done, -1).c1, x.c1)))),
-                    concat(done, array(x))))"""
-        ),
-    )
+    return _pass(docs, Blocks(docs.sparkSession, _blocks(benchmark, item_col, item_text)), id_col, text_col)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -348,18 +348,12 @@ def decontaminated(
     """``docs`` with every hit span cut out of its text; all rows and columns stay, in their order.
 
     Rows without a hit are passed on unchanged, null texts too. A document that consists of nothing
-    but hits keeps an empty text. Each block of the benchmark is one more pass over the rows.
+    but hits keeps an empty text.
     """
-    for windows in _blocks(benchmark, item_col, item_text):
-        docs = _cut(docs, windows, text_col)
-    return docs
-
-
-def _cut(docs: DataFrame, windows: Windows, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+    blocks = Blocks(docs.sparkSession, _blocks(benchmark, item_col, item_text))
 
-    def flush(windows: Windows, waiting: list[pa.RecordBatch], parts: list) -> Iterator[pa.RecordBatch]:
-        found = _shard(windows, range(len(parts)), parts)
+    def flush(waiting: list[pa.RecordBatch], parts: list) -> Iterator[pa.RecordBatch]:
+        found = _shard(blocks, range(len(parts)), parts)
         for batch in waiting:
             k = batch.schema.get_field_index(text_col)
             new: dict[int, str] = {}
@@ -381,7 +375,7 @@ def _cut(docs: DataFrame, windows: Windows, text_col: str) -> DataFrame:
             yield batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, waiting, parts, size = shared.value, [], [], 0
+        waiting, parts, size = [], [], 0
         for batch in batches:
             for row, rows, raw, at in T.slices(batch, text_col):
                 own = _parts(raw, at, rows)
@@ -389,8 +383,8 @@ def _cut(docs: DataFrame, windows: Windows, text_col: str) -> DataFrame:
                 parts += own
                 size += sum(len(p[2]) for p in own)
                 if size >= SHARD_WORDS:
-                    yield from flush(windows, waiting, parts)
+                    yield from flush(waiting, parts)
                     waiting, parts, size = [], [], 0
-        yield from flush(windows, waiting, parts)
+        yield from flush(waiting, parts)
 
     return docs.mapInArrow(run, docs.schema)

@@ -385,6 +385,28 @@ def test_contamination(spark, documents, odd, monkeypatch):
     assert cut.where("text LIKE '%tail of its%'").count() == 0
 
 
+def test_blocks_give_the_same_as_one(spark, monkeypatch):
+    w = [f"w{k}" for k in range(1, 41)]
+    # Items that overlap in a document but lie in different blocks; words on both sides of a cut are no neighbours.
+    items = [(1, " ".join(w[:12])), (2, " ".join(w[7:20])), (3, " ".join([*w[20:25], *w[35:40]])), (4, " ".join(w[25:35]))]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    texts = [(7, " ".join(["a", *w[:20], "b"])), (7, " ".join(w[7:20])), (None, "A b c"), (None, " ".join(w[:12])), (8, " ".join(w[20:40]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def got():
+        cut = sorted(str(r.text) for r in decontaminate.decontaminated(docs, bench).collect())
+        return sorted((str(r[0]), *tuple(r)[1:]) for r in decontaminate.contamination(docs, bench).collect()), cut
+
+    one = got()
+    assert one[1] == sorted(["a  b", "", "A b c", "", " ".join(w[20:25]) + "  " + " ".join(w[35:40])])
+    assert len(one[0]) == len(texts)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 15)
+    assert len(list(decontaminate._blocks(bench, "item_id", "text"))) == 4
+    assert got() == one
+    digests = sorted((str(r[0]), *tuple(r)[1:]) for r in decontaminate.digest(decontaminate.contamination(docs, bench)).collect())
+    assert digests == hits_by_force(texts, items)
+
+
 def test_fm_index_finds_all_occurrences():
     rng = np.random.default_rng(3)
     symbols = np.append(rng.integers(0, 5, 3000), 0).astype(np.int64)
