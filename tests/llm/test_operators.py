@@ -291,6 +291,28 @@ def test_outliers_are_rejected_and_clean_rows_kept(spark):
     assert {r.doc_id for r in got if not r.kept} == set(range(0, 400, 10))
 
 
+def test_small_groups_are_judged_by_their_language_or_all(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(30, 300))]
+        if i % 10 == 0:
+            w = [x + rng.choice("#$%&") for x in w]
+        # Sources of ten rows in one language, and languages of ten rows.
+        lang, source = ("en", f"s{i % 400 // 10}") if i < 200 else (None, "big") if i < 300 else (f"l{i // 10}", None)
+        rows.append((i, " ".join(w), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.quality(docs).collect()
+    assert {r.doc_id for r in got if not r.kept} == set(range(0, 400, 10))
+    assert all(r.dist is not None for r in got)
+    few = quality.quality(docs.limit(5)).collect()
+    assert len(few) == 5 and all(r.dist is not None for r in few)
+    # As the SQL has it: small groups have no distance, the others the same one as before.
+    alone = {r.doc_id: r for r in quality.quality(docs, pooled=False).collect()}
+    assert all((r.dist is None) == (i < 200 or i >= 300) for i, r in alone.items())
+    assert all(alone[r.doc_id].dist == pytest.approx(r.dist) for r in got if 200 <= r.doc_id < 300)
+
+
 # 8. Secret scans.
 def base_by_force(text):
     assign = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
