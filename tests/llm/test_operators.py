@@ -126,6 +126,53 @@ def test_repeated_passages_are_found(documents, odd):
     assert substring_dedup.repeated_passages(odd.limit(0)).count() == 0
 
 
+def test_links_behind_frequent_lines(spark):
+    """A frequent line gives a passage's min-hashes to other documents, which come first and last in its groups."""
+    rng = random.Random(8)
+
+    def words(n):
+        return [f"v{rng.randrange(10**9)}" for _ in range(n)]
+
+    passage = words(60)
+    texts = {i: words(80) for i in range(40)}
+    for k in range(0, 60, 5):  # its parts of 15 words, each in documents of its own
+        texts[k // 5] += passage[k : k + 15]
+        texts[39 - k // 5] += passage[k : k + 15]
+    texts[20] += passage + words(90)
+    texts[21] = words(30) + passage + texts[21]
+    line = words(12)
+    for i in texts:
+        texts[i] += line + words(60)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(docs).collect()}
+    assert {i for i, r in got.items() if r.repeats} == {20, 21}
+    assert got[21].class_id == 20 and got[20].n_links == got[21].n_links == 1
+    assert got[20].n_repeat_words >= 60 and got[21].n_repeat_words >= 60
+
+
+def test_passages_with_a_wide_gap_and_twice(spark):
+    rng = np.random.default_rng(2)
+    t = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (79, 21, 46, 30, 50)]
+    # 37 + 38 of 79 tokens match, four stand at the seam, 21 are put in: 75 of 100.
+    a, b = t[0], np.concatenate((t[0][:37], t[1], t[0][41:]))
+    assert substring_dedup.passages(a, b) == [(0, 79, 0, 96)]
+    twice = np.concatenate((t[2], t[3], t[4], t[2]))
+    assert {(y0, y1) for _, _, y0, y1 in substring_dedup.passages(t[2], twice)} == {(0, 46), (126, 172)}
+
+
+def test_recall_at_the_threshold():
+    rng = np.random.default_rng(6)
+    n = 4000
+    found = 0
+    for _ in range(n):  # 60 of 80 tokens: 0.75
+        a = rng.integers(0, 2**63, 70).astype(np.uint64)
+        b = a.copy()
+        b[::7] = rng.integers(0, 2**63, 10).astype(np.uint64)
+        same = [(a[np.argmin(substring_dedup.T.mix(a ^ s) >> np.uint64(32))] == b[np.argmin(substring_dedup.T.mix(b ^ s) >> np.uint64(32))]) for s in substring_dedup._SEEDS]
+        found += sum(same) >= substring_dedup.AGREE
+    assert found == n
+
+
 # 3. Near-duplicates.
 def near_by_force(texts):
     sets = {}
