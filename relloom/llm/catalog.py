@@ -1,4 +1,4 @@
-"""Named queries of the ten operators, with the SQL they must equal where SQL can express them."""
+"""Named queries of the numbered operators, with the SQL they must equal where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relloom.llm import (
+    conversation_repair,
     decontaminate,
+    language_id,
     minhash_dedup,
     mixing,
     quality,
@@ -17,6 +19,7 @@ from relloom.llm import (
     token_counts,
     toxicity,
     url_filters,
+    vector_codes,
 )
 from relloom.llm.graph import table
 from relloom.llm.oracles import CONTAMINATION_SQL, NEAR_DUPLICATES_SQL, QUALITY_SQL
@@ -66,11 +69,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(suffix_dedup.removal(table(spark, sf_dir, "documents"))).drop("removed")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_substring_dedup, op3_minhash_near_dedup, op4_mixing, op5_token_counts,
         op6_toxicity, op7_quality_rules, op8_secret_scans, op9_decontamination, op10_suffix_dedup,
+        op11_conversation_repair, op12_language_id, op13_vector_codes,
     )
 }
 
@@ -80,4 +96,6 @@ ORACLES: dict[str, str] = {
     "op4_mixing": mixing.MIX_SQL,
     "op7_quality_rules": QUALITY_SQL,
     "op9_decontamination": CONTAMINATION_SQL,
+    "op11_conversation_repair": conversation_repair.REPAIR_SQL,
+    "op13_vector_codes": vector_codes.CODES_SQL,
 }
