@@ -14,6 +14,9 @@ from relloom.operators import clean as cl
 from relloom.operators.dedup import dedup
 from relloom.operators.parse import encode_labels, parse_entities
 from relloom.operators.profile import value_counts
+from relloom.session import scratch_path
+from relloom.sources.relations import SCHEMAS
+from relloom.streaming.clean_stream import clean_stream, stream_relations, write_stream
 
 PARSED_COLS = (
     "id, sentence, source, label, subject_entity, subject_start_idx, subject_end_idx, subject_type,"
@@ -134,7 +137,7 @@ def mark_punct(spark, sf):
     return cl.mark_entities(parsed(spark, sf), "punct").select("id", "sentence", "span_ok")
 
 
-def _prefix_sql(subject: str, obj: str) -> str:
+def prefix_sql(subject: str, obj: str) -> str:
     return (
         f"'@ * ' || {subject} || ' * ' || subject_entity || ' @와 # ^ ' || {obj} || ' ^ '"
         " || object_entity || ' #의 관계 [SEP] '"
@@ -144,7 +147,7 @@ def _prefix_sql(subject: str, obj: str) -> str:
 @query(
     "query_prefix",
     with_rel(
-        f"SELECT id, {_prefix_sql(f'{WORD}[subject_type]', f'{WORD}[object_type]')} || {PUNCT} AS sentence FROM rel"
+        f"SELECT id, {prefix_sql(f'{WORD}[subject_type]', f'{WORD}[object_type]')} || {PUNCT} AS sentence FROM rel"
     ),
 )
 def prefix(spark, sf):
@@ -153,7 +156,7 @@ def prefix(spark, sf):
 
 @query(
     "query_prefix_typed",
-    with_rel(f"SELECT id, {_prefix_sql('subject_type', 'object_type')} || sentence AS sentence FROM rel"),
+    with_rel(f"SELECT id, {prefix_sql('subject_type', 'object_type')} || sentence AS sentence FROM rel"),
 )
 def prefix_typed(spark, sf):
     return cl.query_prefix(parsed(spark, sf), typed=True).select("id", "sentence")
@@ -281,7 +284,7 @@ def other_persons(spark, sf):
 @query(
     "clean_chain",
     with_rel(
-        f"""SELECT id, sentence AS plain, {_prefix_sql(f'{WORD}[subject_type]', f'{WORD}[object_type]')} ||
+        f"""SELECT id, sentence AS plain, {prefix_sql(f'{WORD}[subject_type]', f'{WORD}[object_type]')} ||
               regexp_replace({PUNCT}, '{rules.FOREIGN}', '[OTH]', 'g') AS sentence FROM rel"""
     ),
 )
@@ -292,6 +295,26 @@ def chain(spark, sf):
     return cl.clean(rows, steps).select("id", "plain", "sentence")
 
 
+STREAMED = ["add_only_punct", "add_others_tokens", "quering_with_punct"]
+
+
+@query(
+    "clean_stream",
+    with_rel(
+        f"""SELECT id, label, {prefix_sql(f'{WORD}[subject_type]', f'{WORD}[object_type]')} ||
+              regexp_replace({PUNCT}, '{rules.FOREIGN}', '[OTH]', 'g') AS sentence FROM rel"""
+    ),
+)
+def stream(spark, sf):
+    """Files put into a folder, cleaned a few at a time by a checkpointed stream, and read back."""
+    base = scratch_path(spark, "stream")
+    columns = [field.split()[0] for field in SCHEMAS["parsed"].split(", ")]
+    parsed(spark, sf).select(columns).repartition(4, "id").write.parquet(f"{base}/in")
+    rows = clean_stream(stream_relations(spark, f"{base}/in", max_files=1), STREAMED)
+    write_stream(rows, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("id", "label", "sentence")
+
+
 @query(
     "swap_relations",
     with_rel(

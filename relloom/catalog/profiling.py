@@ -275,3 +275,19 @@ def class_counts(spark, sf):
     return flagged.agg(*[F.count_if(f"has_{name}").alias(name) for name in rules.CHAR_CLASSES])
 
 
+
+
+@query(
+    "medians",
+    with_rel(
+        """SELECT 'score' AS name, median(sqrt(id + 0.5::DOUBLE)) AS median FROM rel
+           UNION ALL SELECT 'label_score', median(sqrt(id + 0.5::DOUBLE)) FILTER (label = 'no_relation') FROM rel
+           UNION ALL SELECT 'chars', median(length(sentence)) FROM rel"""
+    ),
+)
+def middle(spark, sf):
+    """A value of its own for every row, for some rows only, and a repeating one."""
+    score = F.sqrt(F.col("id") + 0.5)
+    return pr.medians(
+        parsed(spark, sf), score=score, label_score=F.when(F.col("label") == "no_relation", score), chars=F.length("sentence")
+    )

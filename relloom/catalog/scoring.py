@@ -97,6 +97,52 @@ def auprc(spark, sf):
     return ev.auprc(run_rows(spark, sf)).withColumn("auprc", F.round("auprc", 8))
 
 
+BINS = 256
+BINNED = f"""
+points AS (
+  SELECT c, least(floor(sqrt(p) * {BINS}), {BINS - 1}) AS bin, count(*) FILTER (label_num = c) AS pos, count(*) AS n
+  FROM (SELECT label_num, unnest(range(0, 30)) AS c, unnest(probs) AS p FROM scored) GROUP BY c, bin
+), curve AS (
+  SELECT c, bin, pos, n, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY c) AS total
+  FROM points WINDOW w AS (PARTITION BY c ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)
+), areas AS (
+  SELECT CAST(c AS INT) AS c,
+    coalesce(sum(pos / nullif(total, 0)::DOUBLE * (tp / seen::DOUBLE
+      + CASE WHEN seen = n THEN 1 ELSE (tp - pos) / (seen - n)::DOUBLE END) / 2), 0) AS auprc,
+    coalesce(sum(pos / nullif(total, 0)::DOUBLE * coalesce((tp - pos) / nullif(seen - pos, 0)::DOUBLE, 1)), 0) AS low,
+    coalesce(sum(pos / nullif(total, 0)::DOUBLE * coalesce(tp / nullif(seen - n + pos, 0)::DOUBLE, 1)), 0) AS high
+  FROM curve GROUP BY c
+)"""
+
+
+@query(
+    "class_auprc_binned",
+    with_rel(
+        "SELECT c, round(auprc, 9) AS auprc, round(low, 9) AS low, round(high, 9) AS high FROM areas", SCORED, BINNED
+    ),
+)
+def binned(spark, sf):
+    areas = ev.binned_auprc(ev.score_histogram(run_rows(spark, sf), BINS))
+    return areas.select("c", *[F.round(x, 9).alias(x) for x in ("auprc", "low", "high")])
+
+
+@query(
+    "auprc_binned",
+    with_rel(
+        """SELECT round(avg(auprc) * 100, 8) AS auprc, round(avg(low) * 100, 8) AS low, round(avg(high) * 100, 8) AS high,
+             (SELECT avg(auprc) FROM exact_areas) BETWEEN avg(low) AND avg(high) AS holds FROM areas""",
+        SCORED, AUPRC.replace("points AS", "exact_points AS").replace("FROM points", "FROM exact_points")
+        .replace("curve AS", "exact_curve AS").replace("FROM curve", "FROM exact_curve").replace("areas AS", "exact_areas AS"),
+        BINNED,
+    ),
+)
+def mean_binned(spark, sf):
+    """The binned mean with its bounds, and whether the exact mean lies between them."""
+    exact = ev.auprc(run_rows(spark, sf)).scalar()
+    out = ev.auprc(run_rows(spark, sf), bins=BINS).withColumn("holds", exact.between(F.col("low"), F.col("high")))
+    return out.select(*[F.round(x, 8).alias(x) for x in ("auprc", "low", "high")], "holds")
+
+
 @query(
     "accuracy",
     with_rel("SELECT round(avg(CASE WHEN pred = label_num THEN 1 ELSE 0 END), 9) AS accuracy FROM preds", SCORED, PRED),
@@ -208,6 +254,25 @@ def divergence(spark, sf):
     return out.withColumn("divergence", F.round("divergence", 6))
 
 
+@query(
+    "logit_divergence",
+    with_rel(
+        """SELECT round(sum((exp(a) - exp(b)) * (a - b)) / 2, 6) AS divergence FROM (
+             SELECT unnest(list_transform(u, lambda v: v - ln(list_sum(list_transform(u, lambda w: exp(w)))))) AS a,
+               unnest(list_transform(o, lambda v: v - ln(list_sum(list_transform(o, lambda w: exp(w)))))) AS b
+             FROM (SELECT list_transform(x.probs, lambda p: ln(p) + 3) AS u, list_transform(y.probs, lambda p: 2 * ln(p)) AS o
+                   FROM scored x JOIN scored2 y USING (id)))""",
+        SCORED, scored_cte(2, "scored2"),
+    ),
+)
+def divergence_of_logits(spark, sf):
+    """Two runs by their logits: the first one's are shifted, the second one's are sharpened."""
+    one = run_rows(spark, sf, 1).withColumn("logits", F.transform("probs", lambda p: F.log(p) + 3))
+    two = run_rows(spark, sf, 2).withColumn("logits", F.transform("probs", lambda p: F.log(p) * 2))
+    out = ev.logit_divergence(one, two)
+    return out.withColumn("divergence", F.round("divergence", 6))
+
+
 # Leaderboard scores of three runs.
 WEIGHTS = {1: 86.0, 2: 87.5, 3: 84.25}
 
@@ -262,9 +327,7 @@ def checked(spark, sf):
     ),
 )
 def submission(spark, sf):
-    """Sums in another order may part a tie in the last digit, so ties are made exact first."""
-    mean = en.ensemble(all_runs(spark, sf))
-    rows = ev.predict_labels(mean.withColumn("probs", F.transform("probs", lambda p: F.round(p, 12))))
+    rows = en.ensemble_submission(all_runs(spark, sf))
     return rows.select("id", "pred_label", F.round(F.array_max("probs"), 6).alias("top"))
 
 

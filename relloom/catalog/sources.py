@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from relloom import rules
 from relloom.catalog.base import LABEL_LIST, query, scored_cte, with_rel
 from relloom.catalog.cleaning import DEDUP_RAW, PARSED_COLS, parsed
-from relloom.catalog.scoring import WEIGHTS, run_rows
+from relloom.catalog.scoring import ENSEMBLE, WEIGHTS, run_rows
 from relloom.corpus import raw, relations, scored, test_relations
 from relloom.operators.evaluate import predict_labels
-from relloom.plans.prepare import prepare_files
+from relloom.plans.prepare import ensemble_files, prepare_files
 from relloom.session import scratch_path
 from relloom.sources import relations as src
 from relloom.sources import runs as rn
@@ -119,6 +119,20 @@ def runs(spark, sf):
     )
 
 
+@query(
+    "ensemble_files",
+    with_rel(
+        f"""SELECT id, {LABEL_LIST}[list_position(r, list_max(r))] AS pred_label, round(list_max(r), 6) AS top
+            FROM (SELECT id, list_transform(probs, lambda p: round(p, 12)) AS r FROM mean)""",
+        ENSEMBLE,
+    ),
+)
+def ensemble_of_files(spark, sf):
+    """A folder of runs, weights in their names, to one table of labels."""
+    rows = ensemble_files(spark, _write_runs(spark, sf), layout="folders", expected=len(WEIGHTS))
+    return rows.select("id", "pred_label", F.round(F.array_max("probs"), 6).alias("top"))
+
+
 @query(
     "submission",
     with_rel(

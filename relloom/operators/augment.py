@@ -73,8 +73,8 @@ def augment(df: DataFrame, steps: Sequence[str] = ()) -> DataFrame:
     """Append the rows of every listed augmentation; each one sees the original rows only.
 
     Operators tell rows apart by ``id``: an added row gets one of its own, made from that of its
-    origin and the step (for numbers, which must not be negative, below zero), and ``origin_id``
-    names the row it comes from.
+    origin and the step (for numbers below zero, so a negative id, as that of an added row, is an error), and
+    ``origin_id`` names the row it comes from.
     """
     unknown = [s for s in steps if s not in STEPS]
     if unknown:
@@ -86,6 +86,9 @@ def augment(df: DataFrame, steps: Sequence[str] = ()) -> DataFrame:
         own = -(F.col("id") * len(steps) + k + 1) if numeric else F.concat("id", F.lit(f"#{step}"))
         return rows.withColumn("id", own.cast("bigint") if numeric else own)
 
+    if numeric and steps:
+        used = F.raise_error(F.concat(F.lit("augmented already, or a negative id: "), F.col("id").cast("string")))
+        df = df.withColumn("id", F.when(F.col("id") < 0, used).otherwise(F.col("id")))
     first = df.withColumn("origin_id", F.col("id"))
     if numeric:
         first = first.withColumn("id", F.col("id").cast("bigint"))

@@ -15,9 +15,6 @@ from relloom.operators.dedup import drop_listed
 from relloom.operators.parse import parse_entities
 from relloom.session import lookup, materialise
 
-# More stop words than this are joined instead of written into the expression.
-
-
 def _type_word(column: str) -> Column:
     code = F.col(column)
     word = rules.literal_map(rules.TYPE_WORDS)[code]
@@ -131,8 +128,9 @@ def remove_stop_words(
 
 
 def _remove_by_join(df: DataFrame, stop_words: DataFrame, parts: Column) -> DataFrame:
-    listed = stop_words.select(F.col(stop_words.columns[0]).alias("_word")).dropna().distinct()
-    exploded = explode_once(df, ["id"], parts, "_pos", "_word")
+    listed = lookup(stop_words.select(F.col(stop_words.columns[0]).alias("_word")).dropna().distinct())
+    # Rows placed by id: if Spark finds the list small, words are gathered where they are.
+    exploded = explode_once(df.repartition("id"), ["id"], parts, "_pos", "_word")
     kept = (
         exploded.join(listed, "_word", "left_anti")
         .groupBy("id")
@@ -197,28 +195,35 @@ def person_names(df: DataFrame) -> DataFrame:
 def mask_other_persons(df: DataFrame, names: DataFrame) -> DataFrame:
     """Replace listed names outside the two tagged entities by ``[PER]``; the tags go away.
 
-    Names are matched on whole blank-separated words, the longest one first from the left.
-    Candidates are found by a name's first word, so a long name adds no work elsewhere. The list
-    grows with the corpus: Spark broadcasts it or not by its written size, and adaptive execution
-    splits the tasks of frequent words. ``id`` must be unique.
+    Names are matched on whole blank-separated words, the longest one first from the left. A
+    stream of candidates carries no text: for each word and each number of words that a
+    name has, the place and the hash of that many words. It is joined with the names' hashes,
+    so work and shuffle grow with the words alone, however many names begin with the same word, and adaptive execution
+    splits the tasks of frequent ones. Hits come back to their row by ``id``, which must be
+    unique, and are held against its text there. The list grows with the corpus: Spark broadcasts it
+    or not by its written size.
     """
-    names = materialise(names.select("name").distinct())
+    names = names.select("name").where("name <> ''").distinct()
+    listed = lookup(names.select("name", F.split("name", " ").alias("_name")).select(
+        "name", F.size("_name").alias("n"), F.xxhash64("_name").alias("_hash")))
+    lengths = sorted(r.n for r in listed.select("n").distinct().collect())
     pieces = F.split("sentence", r" ?\[ENT\] ?| ?\[/ENT\] ?")
-    heads = lookup(
-        names.select(F.split("name", " ").alias("_name")).select(F.col("_name")[0].alias("_first"), F.size("_name").alias("n"), "_name")
-    )
-    # With broadcast names, rows placed by id keep their words where they are.
+    # With broadcast names, rows placed by id keep their candidates where they are.
     texts = explode_once(df.repartition("id"), ["id", "subject_entity", "object_entity"], pieces, "piece", "text")
-    texts = texts.where("text <> subject_entity AND text <> object_entity")
-    parts = texts.select("id", "piece", F.split("text", " ").alias("_words"))
-    starts = explode_once(parts, ["id", "piece", "_words"], F.col("_words"), "pos", "_first")
-    found = starts.join(heads, "_first").where("slice(_words, pos + 1, n) = _name")
-    hit = F.struct("piece", "pos", (-F.col("n")).alias("less"))
+    texts = texts.where("text <> subject_entity AND text <> object_entity").select("id", "piece", F.split("text", " ").alias("_words"))
+    place = F.expr(
+        f"""flatten(transform(_words, (w, i) -> transform(filter(array({", ".join(map(str, lengths))}), n -> i + n <= size(_words)),
+              n -> named_struct('pos', i, 'n', n, '_hash', xxhash64(slice(_words, i + 1, n))))))"""
+    ) if lengths else F.array().cast("array<struct<pos:int,n:int,_hash:bigint>>")
+    places = explode_once(texts, ["id", "piece"], place, "_i", "_at").select("id", "piece", "_at.*")
+    found = places.join(listed, ["n", "_hash"])
+    hit = F.struct("piece", "pos", (-F.col("n")).alias("less"), "name")
     hits = found.groupBy("id").agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
     # Left to right, longest first; a name that starts inside a taken one is skipped.
+    taken = "array<struct<piece:int,pos:int,n:int>>"
     chosen = F.expr(
-        """aggregate(_hits,
-             named_struct('piece', -1, 'free', 0, 'taken', cast(array() AS array<struct<piece:int,pos:int,n:int>>)),
+        f"""aggregate(filter(_hits, h -> array_join(slice(split(_pieces[h.piece], ' '), h.pos + 1, -h.less), ' ') = h.name),
+             named_struct('piece', -1, 'free', 0, 'taken', cast(array() AS {taken})),
              (acc, h) -> if(h.piece = acc.piece AND h.pos < acc.free, acc,
                named_struct('piece', h.piece, 'free', h.pos - h.less, 'taken',
                  concat(acc.taken, array(named_struct('piece', h.piece, 'pos', h.pos, 'n', -h.less))))),
@@ -232,13 +237,8 @@ def mask_other_persons(df: DataFrame, names: DataFrame) -> DataFrame:
                WHEN exists(_taken, t -> t.piece = i AND k > t.pos AND k < t.pos + t.n) THEN NULL
                ELSE w END), ' '))), ' ')"""
     )
-    taken = hits.select("id", chosen.alias("_chosen"))
-    rows = df.join(taken, "id", "left").withColumns(
-        {
-            "_taken": F.coalesce("_chosen", F.array().cast("array<struct<piece:int,pos:int,n:int>>")),
-            "_pieces": pieces,
-        }
-    )
+    rows = df.join(hits, "id", "left").withColumn("_pieces", pieces)
+    rows = rows.withColumn("_taken", F.when(F.col("_hits").isNull(), F.array().cast(taken)).otherwise(chosen))
     return rows.select(*[rebuilt.alias(c) if c == "sentence" else F.col(c) for c in df.columns])
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relloom import rules
@@ -78,19 +79,61 @@ def class_auprc(df: DataFrame, probs: str = "probs", label: str = "label_num") -
     return curve.groupBy("c").agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("auprc"))
 
 
-def auprc(df: DataFrame, probs: str = "probs", label: str = "label_num") -> DataFrame:
-    """Mean class area times 100; every class counts."""
-    return class_auprc(df, probs, label).agg((F.avg("auprc") * 100).alias("auprc"))
+def score_histogram(df: DataFrame, bins: int, probs: str = "probs", label: str = "label_num") -> DataFrame:
+    """(c, bin, pos, n): rows of each class by score, positives among them.
+
+    Bins have equal widths of the score's square root, so small scores, as most are, get narrow
+    ones. Histograms of the same ``bins`` merge by adding counts: tasks send one row per class and
+    bin, whatever they read.
+    """
+    at = F.floor(F.sqrt(F.greatest(F.col("p"), F.lit(0.0))) * bins)
+    return (
+        explode_once(df, [label], F.col(probs), "c", "p")
+        .groupBy("c", F.least(at, F.lit(bins - 1)).cast("int").alias("bin"))
+        .agg(F.count_if(F.col(label) == F.col("c")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    )
+
+
+def binned_auprc(histogram: DataFrame) -> DataFrame:
+    """(c, auprc, low, high) from ``score_histogram``: the exact area lies in [low, high].
+
+    A bin is one point of the curve. Whatever the order of the rows inside a bin, precision
+    there is no less than after all its negatives and before its positives, and no more than after
+    its positives alone; recall grows by its positives. Of each class, ``bins`` rows are cumulated.
+    """
+    whole = W.partitionBy("c")
+    upto = whole.orderBy(F.col("bin").desc()).rowsBetween(W.unboundedPreceding, 0)
+    curve = histogram.withColumns(
+        {"tp": F.sum("pos").over(upto), "seen": F.sum("n").over(upto), "positives": F.sum("pos").over(whole)}
+    )
+    tp0, seen0 = F.col("tp") - F.col("pos"), F.col("seen") - F.col("n")
+    before = F.when(seen0 == 0, F.lit(1.0)).otherwise(F.try_divide(tp0, seen0))
+    step = F.try_divide(F.col("pos"), F.col("positives"))
+    worst = F.coalesce(F.try_divide(tp0, F.col("seen") - F.col("pos")), F.lit(1.0))
+    best = F.coalesce(F.try_divide(F.col("tp"), seen0 + F.col("pos")), F.lit(1.0))
+    areas = {"auprc": (F.col("tp") / F.col("seen") + before) / 2, "low": worst, "high": best}
+    return curve.groupBy("c").agg(*[F.coalesce(F.sum(step * v), F.lit(0.0)).alias(k) for k, v in areas.items()])
+
+
+def auprc(df: DataFrame, probs: str = "probs", label: str = "label_num", bins: int | None = None) -> DataFrame:
+    """Mean class area times 100; every class counts.
+
+    With ``bins`` the scores are counted, not sorted, and ``low`` and ``high`` bound the exact mean.
+    """
+    if bins is None:
+        return class_auprc(df, probs, label).agg((F.avg("auprc") * 100).alias("auprc"))
+    areas = binned_auprc(score_histogram(df, bins, probs, label))
+    return areas.agg(*[(F.avg(c) * 100).alias(c) for c in ("auprc", "low", "high")])
 
 
 def accuracy(df: DataFrame, pred: str = "pred", label: str = "label_num") -> DataFrame:
     return df.agg(F.avg((F.col(pred) == F.col(label)).cast("int")).alias("accuracy"))
 
 
-def evaluate(df: DataFrame, probs: str = "probs", label: str = "label_num") -> DataFrame:
-    """Micro-F1, AUPRC and accuracy of a scored table, in one row."""
+def evaluate(df: DataFrame, probs: str = "probs", label: str = "label_num", bins: int | None = None) -> DataFrame:
+    """Micro-F1, AUPRC (binned, if asked for) and accuracy of a scored table, in one row."""
     rows = df.withColumn("pred", argmax(F.col(probs)))
-    area = auprc(df, probs, label).scalar()
+    area = auprc(df, probs, label, bins).select("auprc").scalar()
     hits = (F.col("pred") == F.col(label)).cast("int")
     return rows.agg(
         _f1(F.col("pred"), F.col(label)).alias("micro_f1"), F.avg(hits).alias("accuracy")
@@ -206,16 +249,20 @@ def loss_audit(
     return df.agg(F.avg(losses[kind]()).alias("loss"))
 
 
+def _both_runs(one: DataFrame, two: DataFrame, column: str) -> DataFrame:
+    """(id, p, q): the column of both runs; an id of only one run is an error."""
+    rows = one.select("id", F.col(column).alias("p")).join(two.select("id", F.col(column).alias("q")), "id", "full")
+    lost = F.raise_error(F.concat(F.lit("only one run has id "), F.col("id").cast("string")))
+    return rows.withColumn("p", F.when(F.col("p").isNull() | F.col("q").isNull(), lost).otherwise(F.col("p")))
+
+
 def run_divergence(one: DataFrame, two: DataFrame, probs: str = "probs") -> DataFrame:
     """Symmetric mean of the two divergences between scoring runs, summed over rows.
 
     A class that both runs give 0 adds nothing, one that only one of them does makes the sum infinite.
     An id that only one run has is an error.
     """
-    left = one.select("id", F.col(probs).alias("p"))
-    rows = left.join(two.select("id", F.col(probs).alias("q")), "id", "full")
-    lost = F.raise_error(F.concat(F.lit("only one run has id "), F.col("id").cast("string")))
-    rows = rows.withColumn("p", F.when(F.col("p").isNull() | F.col("q").isNull(), lost).otherwise(F.col("p")))
+    rows = _both_runs(one, two, probs)
 
     def part(p: Column, q: Column) -> Column:
         one_zero = (p == 0) | (q == 0)
@@ -223,3 +270,23 @@ def run_divergence(one: DataFrame, two: DataFrame, probs: str = "probs") -> Data
 
     parts = F.zip_with("p", "q", part)
     return rows.agg((F.sum(total(parts)) / 2).alias("divergence"))
+
+
+def logit_divergence(one: DataFrame, two: DataFrame, logits: str = "logits") -> DataFrame:
+    """``run_divergence`` from logits: log-probabilities are logits less their log-sum-exp.
+
+    No probability is divided or logged, so one too small for a double still counts with its
+    logarithm. Logits of minus infinity are probabilities of exactly 0, as in ``run_divergence``.
+    """
+    rows = _both_runs(one, two, logits)
+
+    def logs(x: str) -> Column:
+        return let(log_sum_exp(F.col(x)), lambda z: F.transform(x, lambda v: v - z))
+
+    never = F.lit(float("-inf"))
+
+    def part(a: Column, b: Column) -> Column:
+        one_zero = (a == never) | (b == never)
+        return F.when(a == b, 0.0).when(one_zero, float("inf")).otherwise((F.exp(a) - F.exp(b)) * (a - b))
+
+    return rows.agg((F.sum(total(F.zip_with(logs("p"), logs("q"), part))) / 2).alias("divergence"))

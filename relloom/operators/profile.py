@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relloom import rules
 from relloom.functions.arrays import explode_once
-from relloom.operators.ranking import ranked
+from relloom.operators.ranking import ranked, running_totals
 from relloom.session import lookup
 
 
@@ -101,7 +101,8 @@ def pair_counts(df: DataFrame, max_label_rows: int = 500) -> DataFrame:
 def length_stats(df: DataFrame, **lengths: Column) -> DataFrame:
     """Max, min, mean and median of each given length.
 
-    Lengths repeat, so the exact median keeps one counter per distinct length.
+    Lengths repeat, so the exact median keeps one counter per distinct length; ``medians`` is for
+    values that do not repeat.
     """
     aggs = [
         f(v).alias(f"{name}_{tag}")
@@ -111,6 +112,25 @@ def length_stats(df: DataFrame, **lengths: Column) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
 
 
+def medians(df: DataFrame, **values: Column) -> DataFrame:
+    """(name, median) of each given value, exact for any number of distinct values.
+
+    Values are counted, their counts are totalled in order over range partitions, and the one or two
+    values in the middle are read off: no task holds all distinct values. Nulls do not count;
+    a name without values has none.
+    """
+    pairs = F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("v")) for k, v in values.items()])
+    entry = df.select(F.explode(pairs).alias("e")).select("e.*").where("v IS NOT NULL")
+    counts = entry.groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = running_totals(counts, ["name"], [F.col("v")], {"upto": F.col("n")})
+    # 0-based places of the middle rows: one, or two of an even number.
+    places = F.array((F.col("upto_total") - 1).cast("long"), F.col("upto_total").cast("long"))
+    middle = F.transform(places, lambda p: F.floor(p / 2))
+    here = F.filter(middle, lambda p: (F.col("upto") - F.col("n") <= p) & (p < F.col("upto")))
+    found = upto.select("name", "v", F.size(here).alias("times")).where("times > 0")
+    return found.groupBy("name").agg((F.sum(F.col("v") * F.col("times")) / 2).alias("median"))
+
+
 def histogram(df: DataFrame, value: Column, bins: int = 10) -> DataFrame:
     """Equal-width bins over [min, max]; the top edge belongs to the last bin, empty bins stay.
 

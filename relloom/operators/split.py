@@ -10,44 +10,79 @@ from relloom.functions.text import hash_order
 from relloom.operators.ranking import ranked
 from relloom.session import lookup
 
-# Hash values are cut into 16**DIGITS buckets, about equally full whatever the strata are.
+# Digits of the hash that one histogram tells apart: 16**DIGITS buckets per stratum at most.
 DIGITS = 4
+# The bucket that holds a cut is cut again until it has no more rows than this.
+EDGE_ROWS = 50_000
+HASH_DIGITS = 32
 
 
-def _hash_cut(df: DataFrame, strata: list[str], size: Column, seed: int) -> DataFrame:
-    """Add ``split``: per stratum the ``size`` rows that come first in hash order are valid.
+def _same_stratum(strata: list[str]) -> Column:
+    on = F.lit(True)
+    for c in strata:
+        on &= F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    return on
 
-    ``size`` is an expression over ``n``, the rows of the stratum. The rows themselves are
-    never shuffled: a histogram of hash prefixes gives the bucket where the cut falls, ranking
-    that one bucket gives the exact cut, and the cuts (one row per stratum) are joined back.
+
+def _edges(buckets: DataFrame, strata: list[str], take: Column) -> DataFrame:
+    """Per stratum the bucket where its cut falls, its rows, and how many of them are taken.
+
+    ``take`` may use ``n``, the rows of the stratum in ``buckets``.
     """
-    keyed = df.withColumn("_key", hash_order(seed, F.col("id")))
-    narrow = keyed.select(*strata, "_key", F.substring("_key", 1, DIGITS).alias("_bucket"))
     whole = W.partitionBy(*strata) if strata else W.partitionBy(F.lit(0))
     upto = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    buckets = narrow.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    edges = (
-        buckets.withColumns({"_upto": F.sum("_rows").over(upto), "n": F.sum("_rows").over(whole)})
-        .withColumn("_take", size.cast("long") - (F.col("_upto") - F.col("_rows")))
-        .where("_take > 0 AND _take <= _rows")
-        .select(*[F.col(c).alias(f"_s_{c}") for c in strata], F.col("_bucket").alias("_edge"), "_take")
+    placed = buckets.withColumns({"_upto": F.sum("_rows").over(upto), "n": F.sum("_rows").over(whole)})
+    return lookup(
+        placed.withColumn("_left", take.cast("long") - (F.col("_upto") - F.col("_rows")))
+        .where("_left > 0 AND _left <= _rows")
+        .select(*[F.col(c).alias(f"_s_{c}") for c in strata], F.col("_bucket").alias("_edge"), F.col("_left").alias("_take"), "_rows")
     )
 
-    def same_stratum() -> Column:
-        on = F.lit(True)
-        for c in strata:
-            on &= F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-        return on
 
-    in_edge = narrow.join(lookup(edges), same_stratum() & (F.col("_bucket") == F.col("_edge")))
+def edge_buckets(narrow: DataFrame, strata: list[str], size: Column) -> tuple[DataFrame, int]:
+    """Radix selection: ``_edges`` of at most EDGE_ROWS rows each, and the digits that tell them apart.
+
+    Each round counts the rows of the last round's edges by ``DIGITS`` more digits of ``_key``.
+    Only rows of one and the same key, copies of an id, may be more: the digits end there.
+    """
+    first = narrow.withColumn("_bucket", F.substring("_key", 1, DIGITS))
+    buckets = first.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    edges, digits = _edges(buckets, strata, size), DIGITS
+    while digits < HASH_DIGITS and (edges.agg(F.max("_rows")).first()[0] or 0) > EDGE_ROWS:
+        inside = narrow.join(edges, _same_stratum(strata) & (F.substring("_key", 1, digits) == F.col("_edge")))
+        digits = min(digits + DIGITS, HASH_DIGITS)
+        inside = inside.withColumn("_bucket", F.substring("_key", 1, digits))
+        buckets = inside.groupBy(*strata, "_take", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+        edges = _edges(buckets, strata, F.col("_take"))
+    return edges, digits
+
+
+def _hash_cut(df: DataFrame, strata: list[str], size: Column, seed: int) -> DataFrame:
+    """Add ``split``: per stratum the ``size`` rows that come first in hash order are valid.
+
+    ``size`` is an expression over ``n``, the rows of the stratum. The rows themselves are
+    never shuffled: histograms of hash prefixes narrow the cut down to a bucket of bounded size,
+    ranking that one bucket gives the exact cut, and the cuts (one row per stratum) are joined back.
+    """
+    keyed = df.withColumn("_key", hash_order(seed, F.col("id")))
+    narrow = keyed.select(*strata, "_key")
+    edges, digits = edge_buckets(narrow, strata, size)
+    prefix = F.substring("_key", 1, digits)
+    # Copies of a key lie on the same side of the cut, so they are one row here.
+    in_edge = (
+        narrow.join(edges, _same_stratum(strata) & (prefix == F.col("_edge")))
+        .groupBy(*strata, "_take", "_key").agg(F.count(F.lit(1)).alias("_rows"))
+    )
+    whole = W.partitionBy(*strata) if strata else W.partitionBy(F.lit(0))
+    upto = F.sum("_rows").over(whole.orderBy("_key").rowsBetween(W.unboundedPreceding, 0))
     cuts = lookup(
-        in_edge.withColumn("_rank", F.row_number().over(whole.orderBy("_key")))
-        .where("_rank = _take")
+        in_edge.withColumn("_upto", upto)
+        .where("_upto >= _take AND _upto - _rows < _take")
         .select(*[F.col(c).alias(f"_s_{c}") for c in strata], F.col("_key").alias("_cut"))
     )
     valid = F.col("_key") <= F.col("_cut")
     if strata:
-        placed = keyed.join(cuts, same_stratum(), "left")
+        placed = keyed.join(cuts, _same_stratum(strata), "left")
     else:
         placed = keyed.withColumn("_cut", cuts.select("_cut").scalar())
     split = F.when(valid, "valid").otherwise("train").alias("split")

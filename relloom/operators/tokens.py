@@ -8,12 +8,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relloom import rules
 from relloom.functions.arrays import explode_once, let
 from relloom.functions.text import hash_order, share_digits
-from relloom.operators.profile import length_stats, token_counts_table
+from relloom.operators.profile import token_counts_table
+from relloom.session import materialise
 
 
 def tokens_of(text: Column, kind: str = "blank") -> Column:
@@ -90,14 +92,20 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, vocab_size: int, tokens: str
 
 
 def pad_truncate(
-    df: DataFrame, max_len: int, column: str = "tokens", pad: Column | None = None
+    df: DataFrame, max_len: int, column: str = "tokens", pad: Column | None = None, part: str | None = None
 ) -> DataFrame:
     """Cut on the right at ``max_len``, pad to the longest row, add ``attention_mask``.
 
-    Segment ids, if there, are cut and padded alike.
+    Segment ids, if there, are cut and padded alike. With ``part``, a column of few values, rows are padded to
+    the longest one of their part.
     """
     pad = F.lit(rules.PAD) if pad is None else pad
-    longest = df.agg(F.max(F.least(F.size(column), F.lit(max_len))).alias("longest")).scalar()
+    size = F.max(F.least(F.size(column), F.lit(max_len))).alias("longest")
+    if part is None:
+        longest = df.agg(size).scalar()
+    else:
+        sizes = df.groupBy(part).agg(size).agg(F.map_from_entries(F.collect_list(F.struct(part, "longest"))))
+        longest = sizes.scalar()[F.col(part)]
     kept = F.least(F.size(column), F.lit(max_len))
     gap = longest - kept
 
@@ -226,25 +234,44 @@ def rows_with_token(df: DataFrame, token: Column, column: str = "tokens") -> Dat
     return df.where(F.array_contains(column, token))
 
 
-def token_report(df: DataFrame, kinds: tuple[str, ...] = ("blank", "character"), column: str = "sentence") -> DataFrame:
-    """One row per tokenizer: rows, distinct tokens, length statistics, the ten top tokens."""
-
-    def one(kind: str) -> DataFrame:
-        tokens = tokenize(df, column, kind)
-        stats = length_stats(
-            tokens, chars=F.length(column), words=F.size("tokens")
-        ).withColumn("tokenizer", F.lit(kind))
-        counts = token_counts_table(tokens, "tokens")
-        top = counts.orderBy(F.col("n").desc(), "token").limit(10)
-        listed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "token"))).alias("t"))
-        return stats.withColumns(
-            {
-                "distinct_tokens": counts.agg(F.count(F.lit(1)).alias("n")).scalar(),
-                "top_tokens": listed.select(F.col("t.token").alias("t")).scalar(),
-            }
-        )
+def token_report(
+    df: DataFrame, kinds: tuple[str, ...] = ("blank", "character"), column: str = "sentence", top: int = 10
+) -> DataFrame:
+    """One row per tokenizer: rows, distinct tokens, length statistics, the ten top tokens.
 
-    out = one(kinds[0])
-    for kind in kinds[1:]:
-        out = out.unionByName(one(kind))
-    return out
+    One scan: each row gives its tokens under every tokenizer's name, and once its lengths. Both are
+    counted in one aggregation, whose rows, one per token and one per pair of lengths, are written and
+    summed up. Top tokens are limited in each task before they are ranked.
+    """
+    lengths = "struct<tokenizer:string,token:string,chars:int,words:int>"
+
+    def entries(kind: str) -> Column:
+        def of(tokens: Column) -> Column:
+            each = F.transform(tokens, lambda t: F.struct(F.lit(kind), t, F.lit(None), F.lit(None)).cast(lengths))
+            own = F.struct(F.lit(kind), F.lit(None), F.length(column), F.size(tokens)).cast(lengths)
+            return F.concat(F.array(own), F.coalesce(each, F.array().cast(f"array<{lengths}>")))
+
+        return let(tokens_of(F.col(column), kind), of)
+
+    entry = explode_once(df, [], F.concat(*[entries(k) for k in kinds]), "_i", "_e").select("_e.*")
+    counted = materialise(entry.groupBy("tokenizer", "token", "chars", "words").agg(F.count(F.lit(1)).alias("n")))
+    own = F.col("token").isNull()
+    n = F.when(own, F.col("n"))
+
+    def stats(name: str) -> list[Column]:
+        return [
+            F.max(name).alias(f"{name}_max"),
+            F.min(name).alias(f"{name}_min"),
+            (F.sum(F.col(name) * n) / F.sum(F.when(F.col(name).isNotNull(), n))).alias(f"{name}_mean"),
+            F.expr(f"percentile({name}, 0.5, n) FILTER (WHERE token IS NULL)").alias(f"{name}_median"),
+        ]
+
+    report = counted.groupBy("tokenizer").agg(
+        F.sum(n).alias("rows"), *stats("chars"), *stats("words"), F.count("token").alias("distinct_tokens")
+    )
+    order = W.partitionBy("tokenizer").orderBy(F.col("n").desc(), "token")
+    best = counted.where("token IS NOT NULL").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top)
+    listed = best.groupBy("tokenizer").agg(F.sort_array(F.collect_list(F.struct("_rank", "token"))).alias("_t"))
+    joined = report.join(listed, "tokenizer", "left")
+    tops = F.coalesce(F.col("_t.token"), F.array().cast("array<string>"))
+    return joined.select(*[c for c in report.columns if c != "tokenizer"], "tokenizer", tops.alias("top_tokens"))

@@ -13,6 +13,7 @@ class Config:
     seed: int = 42
     test_size: float = 0.2
     token_max_len: int = 100
+    vocab_size: int = 32_000
     short_tokenizing: bool = False
     no_valid: bool = False
     adverse_valid: bool = False

@@ -12,9 +12,10 @@ from relloom.operators.dedup import dedup
 from relloom.operators.ensemble import ensemble_submission
 from relloom.operators.parse import encode_labels, parse_entities
 from relloom.operators.split import no_split, score_split, stratified_split
-from relloom.operators.tokens import pad_truncate, pair_input
+from relloom.operators.tokens import build_vocab, encode_tokens, pad_truncate, pair_input
 from relloom.plans.config import Config
-from relloom.session import materialise
+from relloom.rules import PAD, RESERVED, special_tokens
+from relloom.session import lookup, materialise
 from relloom.sources.relations import read_relations, write_relations
 from relloom.sources.runs import read_runs
 
@@ -25,10 +26,14 @@ def prepare(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def prepare_files(
-    spark: SparkSession, train_path: str, test_path: str, out_path: str, fmt: str = "parquet"
+    spark: SparkSession, train_path: str, test_path: str, out_path: str, fmt: str = "parquet", multi_line: bool = True
 ) -> None:
-    """Raw CSV files in, ``new_train`` and ``new_test`` out."""
-    parts = prepare(read_relations(spark, train_path), read_relations(spark, test_path))
+    """Raw CSV files in, ``new_train`` and ``new_test`` out.
+
+    ``multi_line=False`` splits large files between tasks; their texts must hold no line breaks.
+    """
+    raw = [read_relations(spark, path, multi_line=multi_line) for path in (train_path, test_path)]
+    parts = prepare(*raw)
     for name, rows in zip(("new_train", "new_test"), parts):
         write_relations(rows, f"{out_path}/{name}", fmt)
 
@@ -77,11 +82,42 @@ def test_table(rows: DataFrame, cfg: Config) -> DataFrame:
     return encoded_rows(clean(rows, cfg.select_DC), cfg)
 
 
+def fitted_vocab(rows: DataFrame, cfg: Config) -> DataFrame:
+    """Vocabulary of the train part of ``training_rows``: reserved tokens, frequent ones, tags."""
+    tokens = pair_input(rows.where("split = 'train'"), single=cfg.short_tokenizing)
+    return lookup(build_vocab(tokens, size=cfg.vocab_size, tags=special_tokens()))
+
+
+def integer_rows(rows: DataFrame, vocab: DataFrame, cfg: Config, part: str | None = None) -> DataFrame:
+    """Rows with ``input_ids``, ``token_type_ids`` and ``attention_mask``, padded to the longest row of their part."""
+    tokens = pair_input(rows, single=cfg.short_tokenizing)
+    cut = tokens.withColumns({c: F.slice(c, 1, cfg.token_max_len) for c in ("tokens", "segment_ids")})
+    # An encoding explodes the rows, so they are not encoded again to find the longest one.
+    ids = materialise(encode_tokens(cut, vocab, cfg.vocab_size + len(special_tokens())).drop("tokens"))
+    padded = pad_truncate(ids, cfg.token_max_len, "input_ids", F.lit(RESERVED.index(PAD)), part)
+    return padded.withColumnRenamed("segment_ids", "token_type_ids")
+
+
+def integer_tables(train: DataFrame, test: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
+    """Parsed train and test rows -> the tables a model reads, by one vocabulary fitted on the train part.
+
+    The first holds train and valid rows (``split``) with label numbers, each part padded on its own.
+    """
+    rows = materialise(training_rows(train, cfg))
+    vocab = fitted_vocab(rows, cfg)
+    return (
+        encode_labels(integer_rows(rows, vocab, cfg, "split")),
+        integer_rows(clean(test, cfg.select_DC), vocab, cfg),
+    )
+
+
 def adversarial_split(train: DataFrame, test: DataFrame) -> DataFrame:
     """Score train rows by their likeness to test rows, then split on that score."""
     return score_split(adversarial_scores(train, test))
 
 
-def ensemble_files(spark: SparkSession, path: str) -> DataFrame:
-    """Folder of prediction files -> one submission table."""
-    return ensemble_submission(read_runs(spark, path))
+def ensemble_files(
+    spark: SparkSession, path: str, layout: str = "files", expected: int | None = None
+) -> DataFrame:
+    """Folder of prediction files -> one submission table; an id that a run lacks or repeats is an error."""
+    return ensemble_submission(read_runs(spark, path, layout), expected=expected)

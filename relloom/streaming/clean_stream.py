@@ -11,14 +11,24 @@ from relloom.operators.clean import NOT_ROWWISE, clean
 from relloom.sources.relations import SCHEMAS
 
 
-def stream_relations(spark: SparkSession, path: str, kind: str = "parsed") -> DataFrame:
-    """Relation rows from parquet files as they are put into a folder."""
-    return spark.readStream.schema(SCHEMAS[kind]).parquet(path)
+def stream_relations(
+    spark: SparkSession, path: str, kind: str = "parsed", max_files: int | None = None
+) -> DataFrame:
+    """Relation rows from parquet files as they are put into a folder, ``max_files`` of them in a batch."""
+    reader = spark.readStream.schema(SCHEMAS[kind])
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
 
 
 def clean_stream(df: DataFrame, steps: Sequence[str | tuple[str, dict]]) -> DataFrame:
-    """The cleaning chain on a stream; steps that need whole groups are refused."""
-    grouped = [s for s in steps if (s if isinstance(s, str) else s[0]) in NOT_ROWWISE]
+    """The cleaning chain on a stream; steps that group rows or join tables are refused."""
+
+    def rowwise(step: str | tuple[str, dict]) -> bool:
+        name, args = (step, {}) if isinstance(step, str) else step
+        return name not in NOT_ROWWISE and not any(isinstance(v, DataFrame) for v in args.values())
+
+    grouped = [s if isinstance(s, str) else s[0] for s in steps if not rowwise(s)]
     if grouped:
         raise ValueError(f"steps need the whole table: {grouped}")
     return clean(df, steps)

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from relloom.corpus import raw, relations, scored, test_relations as unlabelled
 from relloom.operators.evaluate import predict_labels
 from relloom.plans.config import Config
-from relloom.plans.prepare import ensemble_files, prepare, prepare_files, test_table as encode_test, training_rows, training_table
-from relloom.sources.relations import read_relations, read_stop_words, write_relations
+from relloom.plans.prepare import (
+    ensemble_files, integer_tables, prepare, prepare_files, test_table as encode_test, training_rows, training_table,
+)
+from relloom.rules import special_tokens
+from relloom.sources.relations import SCHEMAS, read_relations, read_stop_words, write_relations
 from relloom.sources.runs import checkpoint_score, name_weight, parse_probs, probs_text, read_runs
 from relloom.streaming.clean_stream import clean_stream, stream_relations, write_stream
 from tests.conftest import SF
@@ -142,3 +145,42 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(got.collect()) == sorted(batch.collect())
     with pytest.raises(ValueError):
         clean_stream(rows, ["remove_duplicated"])
+    words = spark.createDataFrame([("a",)], "word string")
+    with pytest.raises(ValueError, match="stop_words"):
+        clean_stream(rows, [("stop_words", {"stop_words": words})])
+    assert clean_stream(rows, [("stop_words", {"stop_words": ["a"]})]).columns == rows.columns
+
+
+def test_stream_works_in_batches(spark, tmp_path):
+    rows = relations(spark, SF).drop("label_num").select(*[f.split()[0] for f in SCHEMAS["parsed"].split(", ")])
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = clean_stream(stream_relations(spark, str(tmp_path / "in"), max_files=1), ["strip_blanks"])
+    running = write_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    running.awaitTermination()
+    batches = [p for p in running.recentProgress if p["numInputRows"]]
+    assert len(batches) == 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count()
+
+
+def test_integer_tables(spark):
+    cfg = Config(token_max_len=20, vocab_size=50, select_DC=["add_entity_tokens_base"])
+    rows = parsed(spark)
+    train, test = integer_tables(rows, unlabelled(spark, SF), cfg)
+    got = train.collect()
+    assert len({r.id for r in got}) == len(got) == rows.count()
+    for r in got[:200]:
+        n = sum(r.attention_mask)
+        assert len(r.input_ids) == len(r.token_type_ids) == len(r.attention_mask) == 20
+        assert all(x > 0 for x in r.input_ids[:n]) and not any(r.input_ids[n:]) and r.input_ids[0] == 2
+    assert max(max(r.input_ids) for r in got) < 5 + 50 + len(special_tokens())
+    assert test.count() == unlabelled(spark, SF).count() and "label_num" not in test.columns
+
+
+def test_prepare_splits_files_without_breaks(spark, tmp_path):
+    rows = raw(relations(spark, SF))
+    for name in ("train", "test"):
+        write_relations(rows, str(tmp_path / name))
+    for multi in (True, False):
+        prepare_files(spark, str(tmp_path / "train"), str(tmp_path / "test"), str(tmp_path / f"out{multi}"), multi_line=multi)
+    one, two = (spark.read.parquet(str(tmp_path / f"out{m}" / "new_train")) for m in (True, False))
+    assert sorted(one.collect()) == sorted(two.collect())

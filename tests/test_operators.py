@@ -18,7 +18,7 @@ from relloom.operators import evaluate as ev
 from relloom.operators import profile as pr
 from relloom.operators import split as sp
 from relloom.operators import tokens as tk
-from relloom.operators.adversarial import adversarial_scores
+from relloom.operators.adversarial import adversarial_scores, fit_origin, origin_weights, pair_text
 from relloom.operators.ranking import ranked, running_totals
 from relloom.sources.runs import submission
 from tests.conftest import no_broadcast
@@ -106,6 +106,28 @@ def test_random_split_size(hot):
     assert counts == {"valid": 1800, "train": 4200}
 
 
+@pytest.mark.parametrize("digits, most", [(1, 3), (2, 40), (4, 50_000)])
+def test_cut_buckets_stay_small(hot, monkeypatch, digits, most):
+    """However few digits a round tells apart, the ranked bucket is bounded and the rows are the same."""
+    want = {r["id"] for r in local(sp.stratified_split(hot).where("split = 'valid'"))}
+    plain = {r["id"] for r in local(sp.random_split(hot).where("split = 'valid'"))}
+    monkeypatch.setattr(sp, "DIGITS", digits)
+    monkeypatch.setattr(sp, "EDGE_ROWS", most)
+    assert {r["id"] for r in local(sp.stratified_split(hot).where("split = 'valid'"))} == want
+    assert {r["id"] for r in local(sp.random_split(hot).where("split = 'valid'"))} == plain
+    narrow = hot.select("label", F.md5(F.concat(F.lit("42:"), F.col("id").cast("string"))).alias("_key"))
+    for strata in (["label"], []):
+        edges, _ = sp.edge_buckets(narrow, strata, F.round(F.col("n") * 0.2))
+        assert edges.agg(F.max("_rows")).first()[0] <= most
+
+
+def test_copies_of_an_id_stay_together(spark, monkeypatch):
+    monkeypatch.setattr(sp, "EDGE_ROWS", 2)
+    rows = spark.createDataFrame([(7, "a")] * 50 + [(k, "a") for k in range(100, 110)], "id long, label string")
+    out = local(sp.stratified_split(rows, test_size=0.5))
+    assert len(out) == 60 and len({r["split"] for r in out if r["id"] == 7}) == 1
+
+
 def test_score_split(hot):
     groups = defaultdict(lambda: defaultdict(list))
     for r in local(sp.score_split(hot)):
@@ -244,6 +266,24 @@ def test_auprc(predictions):
     assert ev.auprc(predictions).first().auprc == pytest.approx(sum(want.values()) / 30 * 100)
 
 
+@pytest.mark.parametrize("bins", [1, 7, 256])
+def test_binned_area_bounds_the_exact_one(predictions, bins):
+    exact = {r["c"]: r["auprc"] for r in local(ev.class_auprc(predictions))}
+    halves = [predictions.where(F.col("id") % 2 == k) for k in (0, 1)]
+    merged = ev.score_histogram(halves[0], bins).unionByName(ev.score_histogram(halves[1], bins))
+    merged = merged.groupBy("c", "bin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    assert merged.count() <= 30 * bins
+    got = {r["c"]: r for r in local(ev.binned_auprc(merged))}
+    for c, area in exact.items():
+        assert got[c]["low"] - 1e-12 <= area <= got[c]["high"] + 1e-12
+        assert got[c]["low"] - 1e-12 <= got[c]["auprc"] <= got[c]["high"] + 1e-12
+    one = ev.auprc(predictions, bins=bins).first()
+    assert one.auprc == pytest.approx(sum(r["auprc"] for r in got.values()) / 30 * 100)
+    assert ev.evaluate(predictions, bins=bins).first().auprc == pytest.approx(one.auprc)
+    if bins == 256:
+        assert one.auprc == pytest.approx(ev.auprc(predictions).first().auprc, abs=1.5)
+
+
 def test_metrics_agree(predictions):
     scored = ev.predict_labels(predictions)
     rows = local(scored)
@@ -421,6 +461,91 @@ def test_divergence_of_zero_probabilities(spark):
         ev.run_divergence(one, run([(2, [0.0, 1.0])])).collect()
 
 
+def test_runs_must_be_complete(spark):
+    even = [1 / 30] * 30
+
+    def runs(*pairs):
+        return spark.createDataFrame([(r, i, even, 1.0) for r, i in pairs], "run string, id long, probs array<double>, weight double")
+
+    whole = runs(("a", 1), ("a", 2), ("b", 1), ("b", 2))
+    assert en.ensemble(whole).count() == 2 and en.ensemble_submission(whole).count() == 2
+    for broken in (runs(("a", 1), ("a", 2), ("b", 1)), runs(("a", 1), ("a", 1), ("b", 1)), runs(("a", 1), ("a", 1))):
+        with pytest.raises(Exception, match="not in all runs exactly once"):
+            en.ensemble_submission(broken).collect()
+    with pytest.raises(Exception, match="not in all runs"):
+        en.ensemble(whole, expected=3).collect()
+
+
+def test_divergence_from_logits(spark):
+    def run(*logits):
+        return spark.createDataFrame([(i, x) for i, x in enumerate(logits)], "id long, logits array<double>")
+
+    one, two = run([0.0, -800.0, 1.0]), run([0.0, 5.0, 1.0])
+
+    def logs(x):
+        z = max(x) + math.log(sum(math.exp(v - max(x)) for v in x))
+        return [v - z for v in x]
+
+    a, b = logs([0.0, -800.0, 1.0]), logs([0.0, 5.0, 1.0])
+    want = sum((math.exp(p) - math.exp(q)) * (p - q) for p, q in zip(a, b)) / 2
+    assert want > 300
+    assert ev.logit_divergence(one, two).first().divergence == pytest.approx(want)
+    assert ev.logit_divergence(one, one).first().divergence == 0
+    # From probabilities, the same row is infinitely far: exp(-801) is 0.
+    probs = [ev.add_probs(x) for x in (one, two)]
+    assert ev.run_divergence(*probs).first().divergence == float("inf")
+    never = run([0.0, float("-inf"), 1.0])
+    assert ev.logit_divergence(never, never).first().divergence == 0
+    assert ev.logit_divergence(never, one).first().divergence == float("inf")
+    with pytest.raises(Exception, match="only one run"):
+        ev.logit_divergence(run([1.0]), run([1.0], [2.0])).collect()
+
+
+def test_scores_follow_from_the_weights(rows_of):
+    train = rows_of([(i, f"river stone p{i} q{i}", f"p{i}", f"q{i}", "no_relation") for i in range(30)])
+    test = rows_of([(i, f"comet orbit r{i} s{i}", f"r{i}", f"s{i}", "no_relation") for i in range(30)])
+    model = fit_origin(train, test)
+    weights = {r.place: r.weight for r in origin_weights(model, train.sparkSession).collect()}
+    for r in model.transform(pair_text(train)).select("features", "probability").collect():
+        x = weights[-1] + sum(weights.get(int(k), 0.0) * v for k, v in zip(r.features.indices, r.features.values))
+        assert r.probability[1] == pytest.approx(1 / (1 + math.exp(-x)))
+    got = {r["id"]: r["prob_1"] for r in local(adversarial_scores(train, test))}
+    assert all(0 <= p <= 1 for p in got.values()) and len(got) == 30
+
+
+def test_token_report_scans_once(hot):
+    report = tk.token_report(hot)
+    rows = local(hot)
+    for r in local(report):
+        texts = [x["sentence"].split(" ") if r["tokenizer"] == "blank" else list(x["sentence"]) for x in rows]
+        counts = Counter(t for ts in texts for t in ts)
+        lengths = sorted(len(t) for t in texts)
+        assert r["distinct_tokens"] == len(counts) and r["rows"] == len(rows)
+        assert r["top_tokens"] == [t for t, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:10]]
+        assert r["words_median"] == (lengths[2999] + lengths[3000]) / 2 and r["words_max"] == lengths[-1]
+    odd = hot.sparkSession.createDataFrame([("a b",), ("",), (None,)], "sentence string")
+    assert {r["tokenizer"]: (r["rows"], r["distinct_tokens"]) for r in local(tk.token_report(odd))} == {"blank": (3, 3), "character": (3, 3)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 1000])
+def test_medians(spark, n):
+    draw = random.Random(n)
+    rows = [(draw.random() if k % 3 else None, float(draw.randrange(3)), None) for k in range(n)]
+    got = {r.name: r.median for r in pr.medians(
+        spark.createDataFrame(rows, "a double, b double, c double"), a=F.col("a"), b=F.col("b"), c=F.col("c")).collect()}
+    for k, name in enumerate("ab"):
+        values = sorted(r[k] for r in rows if r[k] is not None)
+        assert got.get(name) == (pytest.approx((values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2) if values else None)
+    assert "c" not in got
+
+
+def test_augmenting_twice_is_an_error(rows_of):
+    rows = rows_of([(1, "a x b y", "x", "y", "per:spouse")])
+    once = aug.augment(rows, ["swap_sentence"])
+    with pytest.raises(Exception, match="augmented already"):
+        aug.augment(once.drop("origin_id"), ["swap_sentence"]).collect()
+
+
 def test_special_tokens():
     tokens = rules.special_tokens()
     assert len(tokens) == len(set(tokens)) == 51
