@@ -15,6 +15,11 @@ from relloom.operators.dedup import drop_listed
 from relloom.operators.parse import parse_entities
 from relloom.session import lookup, materialise
 
+# A table of stop words up to this size travels inside the expression, in so many slots.
+LISTED = 20_000
+SLOTS = 4096
+
+
 def _type_word(column: str) -> Column:
     code = F.col(column)
     word = rules.literal_map(rules.TYPE_WORDS)[code]
@@ -113,13 +118,19 @@ def remove_stop_words(
 ) -> DataFrame:
     """Drop listed words and join the rest by blanks; words are blank-separated or a tokens column.
 
-    A sequence is a hash set inside the expression. A table of any size is joined with the
-    exploded words, and the rest is put together again by ``id``, which must be unique. Null words
-    of either are no words, and a null sentence stays null.
+    A sequence is a hash set inside the expression. A table is written and counted: up to ``LISTED``
+    words it becomes a hash table inside the expression, beyond that it is joined with the exploded words
+    and the rest is put together again by ``id``, which must be unique. Null words of either are no words,
+    and a null sentence stays null.
     """
     parts = F.col(tokens) if tokens else words(F.col("sentence"))
     if isinstance(stop_words, DataFrame):
-        return _remove_by_join(df, stop_words, parts)
+        listed = lookup(stop_words.select(F.col(stop_words.columns[0]).alias("_word")).dropna().distinct())
+        if listed.count() > LISTED:
+            return _remove_by_join(df, listed, parts)
+        kept = F.filter(parts, lambda x: ~F.array_contains(F.get("_table", _slot(x)), x))
+        rows = df.withColumn("_table", _table(listed)).withColumn("sentence", F.array_join(kept, " "))
+        return rows.select(*df.columns)
     stop_words = [w for w in stop_words if w is not None]
     if not stop_words:
         return df.withColumn("sentence", F.array_join(parts, " "))
@@ -127,8 +138,19 @@ def remove_stop_words(
     return df.withColumn("sentence", F.array_join(kept, " "))
 
 
-def _remove_by_join(df: DataFrame, stop_words: DataFrame, parts: Column) -> DataFrame:
-    listed = lookup(stop_words.select(F.col(stop_words.columns[0]).alias("_word")).dropna().distinct())
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+
+
+def _table(listed: DataFrame) -> Column:
+    """A short list as an array of SLOTS arrays, each word in the one of its hash."""
+    filled = listed.groupBy(_slot(F.col("_word")).alias("_slot")).agg(F.collect_list("_word").alias("_words"))
+    every = listed.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("_slot")).join(filled, "_slot", "left")
+    words_ = F.coalesce("_words", F.array().cast("array<string>")).alias("_words")
+    return every.agg(F.sort_array(F.collect_list(F.struct("_slot", words_))).alias("t")).select("t._words").scalar()
+
+
+def _remove_by_join(df: DataFrame, listed: DataFrame, parts: Column) -> DataFrame:
     # Rows placed by id: if Spark finds the list small, words are gathered where they are.
     exploded = explode_once(df.repartition("id"), ["id"], parts, "_pos", "_word")
     kept = (
@@ -196,8 +218,8 @@ def mask_other_persons(df: DataFrame, names: DataFrame) -> DataFrame:
     """Replace listed names outside the two tagged entities by ``[PER]``; the tags go away.
 
     Names are matched on whole blank-separated words, the longest one first from the left. A
-    stream of candidates carries no text: for each word and each number of words that a
-    name has, the place and the hash of that many words. It is joined with the names' hashes,
+    stream of candidates carries no sentence: for each word its place, and for each place and number of
+    words above one that a name has, the hash of that many words. It is joined with the names and their hashes,
     so work and shuffle grow with the words alone, however many names begin with the same word, and adaptive execution
     splits the tasks of frequent ones. Hits come back to their row by ``id``, which must be
     unique, and are held against its text there. The list grows with the corpus: Spark broadcasts it
@@ -211,12 +233,21 @@ def mask_other_persons(df: DataFrame, names: DataFrame) -> DataFrame:
     # With broadcast names, rows placed by id keep their candidates where they are.
     texts = explode_once(df.repartition("id"), ["id", "subject_entity", "object_entity"], pieces, "piece", "text")
     texts = texts.where("text <> subject_entity AND text <> object_entity").select("id", "piece", F.split("text", " ").alias("_words"))
-    place = F.expr(
-        f"""flatten(transform(_words, (w, i) -> transform(filter(array({", ".join(map(str, lengths))}), n -> i + n <= size(_words)),
-              n -> named_struct('pos', i, 'n', n, '_hash', xxhash64(slice(_words, i + 1, n))))))"""
-    ) if lengths else F.array().cast("array<struct<pos:int,n:int,_hash:bigint>>")
-    places = explode_once(texts, ["id", "piece"], place, "_i", "_at").select("id", "piece", "_at.*")
-    found = places.join(listed, ["n", "_hash"])
+    places = []
+    if 1 in lengths:
+        words_ = explode_once(texts, ["id", "piece"], F.col("_words"), "pos", "name")
+        places.append(words_.join(listed.where("n = 1").drop("_hash"), "name"))
+    if lengths and lengths[-1] > 1:
+        several = F.concat(
+            *[F.expr(f"""if(size(_words) < {n}, array(), transform(sequence(0, size(_words) - {n}),
+                           i -> named_struct('pos', i, 'n', {n}, '_hash', xxhash64(slice(_words, i + 1, {n})))))""")
+              for n in lengths if n > 1]
+        )
+        starts = explode_once(texts, ["id", "piece"], several, "_i", "_at").select("id", "piece", "_at.*")
+        places.append(starts.join(listed, ["n", "_hash"]))
+    if not places:
+        return df.withColumn("sentence", F.array_join(pieces, " "))
+    found = reduce(DataFrame.unionByName, [p.select("id", "piece", "pos", "n", "name") for p in places])
     hit = F.struct("piece", "pos", (-F.col("n")).alias("less"), "name")
     hits = found.groupBy("id").agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
     # Left to right, longest first; a name that starts inside a taken one is skipped.

@@ -243,18 +243,29 @@ def token_report(
     counted in one aggregation, whose rows, one per token and one per pair of lengths, are written and
     summed up. Top tokens are limited in each task before they are ranked.
     """
-    lengths = "struct<tokenizer:string,token:string,chars:int,words:int>"
 
-    def entries(kind: str) -> Column:
-        def of(tokens: Column) -> Column:
-            each = F.transform(tokens, lambda t: F.struct(F.lit(kind), t, F.lit(None), F.lit(None)).cast(lengths))
-            own = F.struct(F.lit(kind), F.lit(None), F.length(column), F.size(tokens)).cast(lengths)
-            return F.concat(F.array(own), F.coalesce(each, F.array().cast(f"array<{lengths}>")))
-
-        return let(tokens_of(F.col(column), kind), of)
-
-    entry = explode_once(df, [], F.concat(*[entries(k) for k in kinds]), "_i", "_e").select("_e.*")
-    counted = materialise(entry.groupBy("tokenizer", "token", "chars", "words").agg(F.count(F.lit(1)).alias("n")))
+    # Lengths come first, one text for each tokenizer, and tokens behind them: positions tell them apart.
+    none = F.array().cast("array<string>")
+    rows = df.select(F.col(column).alias("_text")).withColumns({f"_t{k}": tokens_of(F.col("_text"), kind) for k, kind in enumerate(kinds)})
+    own = [F.concat_ws(",", F.length("_text").cast("string"), F.size(f"_t{k}").cast("string")) for k in range(len(kinds))]
+    values = F.concat(F.array(*own), *[F.coalesce(f"_t{k}", none) for k in range(len(kinds))])
+    ends, end = {}, F.lit(len(kinds))
+    for k in range(len(kinds) - 1):
+        end = end + F.coalesce(F.size(f"_t{k}"), F.lit(0))
+        ends[f"_end{k}"] = end
+    entry = explode_once(rows.withColumns({**ends, "_values": values}), list(ends), F.col("_values"), "_i", "token")
+    kind_of = F.lit(len(kinds) - 1)
+    for k in reversed(range(len(kinds) - 1)):
+        kind_of = F.when(F.col("_i") < F.col(f"_end{k}"), k).otherwise(kind_of)
+    kind_of = F.when(F.col("_i") < len(kinds), -1 - F.col("_i")).otherwise(kind_of)
+    written = materialise(entry.groupBy(kind_of.alias("k"), "token").agg(F.count(F.lit(1)).alias("n")))
+    own = F.col("k") < 0
+    length = F.split("token", ",")
+    counted = written.select(
+        F.element_at(F.array(*[F.lit(x) for x in kinds]), F.when(own, -F.col("k")).otherwise(F.col("k") + 1)).alias("tokenizer"),
+        F.when(~own, F.col("token")).alias("token"), "n",
+        *[F.when(own, F.get(length, F.lit(i)).try_cast("int")).alias(c) for i, c in enumerate(("chars", "words"))],
+    )
     own = F.col("token").isNull()
     n = F.when(own, F.col("n"))
 
