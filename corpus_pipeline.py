@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relloom.llm import decontaminate, minhash_dedup, mixing, quality, secret_scan
-from relloom.llm.graph import table
+from relloom.llm.graph import fresh, keyed, table
 from relloom.session import materialise, scratch_path
 
 #: The robust outliers and the min-hash join are not expressible in one SQL statement of use.
@@ -20,10 +20,12 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go. Rows with a null id stay: they cannot be named in a verdict."""
-    found = quality.quality(docs)
-    gone = materialise(found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """Rejected documents go. Each row is judged by its own text, whatever its id."""
+    rows, row = keyed(docs)
+    found = quality.quality(rows, id_col=row)
+    name = fresh(rows, "gone")
+    gone = materialise(found.where("NOT kept").select(F.col("doc_id").alias(name)))
+    return rows.join(gone, rows[row] == gone[name], "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +44,18 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often (``copies``) and how many words (``taken``)."""
+    """The documents that the mix takes, with how often (``copies``) and how many words (``taken``).
+
+    The mix's columns get an underscore behind their names where ``documents`` has such a column.
+    """
+    rows, row = keyed(docs)
+    mixed = mixing.mix(rows, row_col=row).where("taken > 0")
+    names = {c: fresh(rows, c) for c in ("source_size", "target", "copies", "taken")}
+    size, key = fresh(rows, "mix_size"), fresh(rows, "mix_row")
     mixed = materialise(
-        mixing.mix(docs).where("taken > 0").select(
-            F.col("doc_id").alias("_id"), F.col("size").alias("mix_size"), "source_size", "target", "copies", "taken"
-        ).dropDuplicates(["_id"])
-    )
-    return docs.join(mixed, docs["doc_id"].eqNullSafe(F.col("_id"))).select(
-        *[docs[c] for c in docs.columns], "mix_size", "source_size", "target", "copies", "taken"
+        mixed.select(F.col("row").alias(key), F.col("size").alias(size), *[F.col(c).alias(n) for c, n in names.items()])
     )
+    return rows.join(mixed, rows[row] == mixed[key]).select(*docs.columns, size, *names.values())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

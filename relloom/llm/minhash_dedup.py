@@ -18,7 +18,7 @@ A pair at similarity 0.75 agrees in 48 of 64 coordinates on average; it is misse
 MATCHES agree (below 1e-6; far less for closer pairs). What is reported is always exact.
 
 Null and empty texts have the empty set and are linked with nothing. Rows with a null id are not
-linked either. Repeated rows with one id get the same class. Other columns are not read.
+linked either: their component is null and they are kept, copies of other rows or not. Repeated rows with one id get the same class. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relloom.llm import text as T
-from relloom.llm.graph import components
+from relloom.llm.graph import components, extended, fresh
 from relloom.session import materialise
 
 COORDS = 64
@@ -195,12 +195,21 @@ def _tried_centre(able: DataFrame) -> DataFrame:
     return _pairs(met.where("root_x <> root_y").where(_ABLE))
 
 
+def _once(able: DataFrame) -> DataFrame:
+    """Rows of one list only of those that hold the same members: copies share many coordinates."""
+    lists = able.groupBy("key").agg(
+        F.count("*").alias("c"), *[F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)]
+    )
+    first = lists.groupBy("c", "h0", "h1").agg(F.min("key").alias("key")).select("key")
+    return materialise(able.join(first, "key", "left_semi"))
+
+
 def _rest(able: DataFrame, texts: DataFrame) -> DataFrame:
     """Written links (a, b) between a list's members in different components, on the full sets.
 
     Members outside a list's largest component are held against the list's other members. A list of
     more than ``BLOCK`` members is laid out as a grid of blocks, so a task holds two blocks at most; a
-    pair is given only if it is a link.
+    pair is given only if it is a link. Of lists with the same members (by count and two 64-bit hash sums), one is used.
     """
     kind = able.schema["id"].dataType.simpleString()
 
@@ -209,6 +218,7 @@ def _rest(able: DataFrame, texts: DataFrame) -> DataFrame:
             found = [_set(batch, "text", i).tobytes() for i in range(batch.num_rows)]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
+    able = _once(able)
     members = able.select("id").distinct()
     whole = texts.join(members, "id", "left_semi").select("id", "text").mapInArrow(sets, f"id {kind}, shingles binary")
     sizes = able.groupBy("key", "root").agg(F.count("*").alias("c"))
@@ -267,20 +277,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = materialise(texts.join(members, "id", "left_semi").dropDuplicates(["id"]))
     links = _confirmed(_tried_first(postings), classes, texts)
-    roots = components(links)
+    roots = materialise(components(links))
     left = _open(postings, roots)
     able = _shared(left.select("id").distinct(), texts).where(f"100 * s >= {SIMILARITY} * n")
     left = materialise(left.drop("root").join(able, "id"))
-    links = links.unionByName(_confirmed(_tried_centre(_open(left, roots)), classes, texts))
-    roots = components(links)
-    links = links.unionByName(_rest(_open(left, roots), texts))
-    roots = components(links)
+    roots = extended(roots, _confirmed(_tried_centre(_open(left, roots)), classes, texts))
+    roots = extended(roots, _rest(_open(left, roots), texts))
     of_class = classes.join(roots, classes["id"] == roots["node"], "left").select(
         "set_key", F.coalesce("root", "id").alias("component")
     )
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return rows.join(of_class, "set_key", "left").select(
-        F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"),
+        F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"),
+        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
 
 
@@ -290,12 +299,15 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Rows with a null id stay.
     """
     found = near_duplicates(docs, id_col, text_col)
-    gone = materialise(found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    name = fresh(docs, "gone")
+    gone = materialise(found.where("NOT kept").select(F.col("doc_id").alias(name)).distinct())
     again = materialise(
-        found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-        .select(F.col("doc_id").alias("_gone"))
+        found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
     )
-    on = docs[id_col] == F.col("_gone")
-    once = docs.join(gone.unionByName(again), on, "left_anti")
-    repeated = docs.join(again, on, "left_semi").join(gone, on, "left_anti").dropDuplicates([id_col])
+
+    def without(rows: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
+        return rows.join(ids, rows[id_col] == ids[name], how)
+
+    once = without(docs, gone.unionByName(again))
+    repeated = without(without(docs, again, "left_semi"), gone).dropDuplicates([id_col])
     return once.unionByName(repeated)

@@ -67,21 +67,27 @@ def targets(sized: DataFrame) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED,
+    row_col: str | None = None,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every document.
 
+    With ``row_col``, a unique key of the rows, ``row`` is returned too, so that rows of one id can be told apart.
+
     ``copies``: how often the whole document is taken; ``taken``: words taken, those of a last
     partial copy included.
     """
+    row = [F.col(row_col).alias("row")] if row_col else []
     sized = materialise(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+            *row,
         )
     )
     wanted = targets(sized).select(F.col("source").alias("_source"), "source_size", "target")
     keyed = sized.withColumn("key", hash_order(seed, F.col("doc_id")))
-    placed = running_totals(keyed, ["source"], [F.col("key"), F.col("doc_id"), F.col("size")], {"upto": F.col("size")})
+    order = [F.col(c) for c in ("key", "doc_id", "size", "row") if c in keyed.columns]
+    placed = running_totals(keyed, ["source"], order, {"upto": F.col("size")})
     budget = F.floor(F.col("target") + 0.5).cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).cast("long")
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - (F.col("upto") - F.col("size"))))
@@ -94,7 +100,7 @@ def mix(
         .select(
             "doc_id", "source", "size", "source_size", "target",
             (F.col("epochs") + ((F.col("part") == F.col("size")) & (F.col("size") > 0)).cast("long")).alias("copies"),
-            (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
+            (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), *["row"] * len(row),
         )
     )
 

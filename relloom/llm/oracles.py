@@ -91,7 +91,18 @@ def quality_sql() -> str:
     zero = ", ".join(f"0.0::DOUBLE AS c_{x}_{y}" for x, y in pairs)
     centre = ", ".join(f"(cell_{x} + 0.5) / {Q.MEDIAN_CLASSES} AS m_{x}" for x in dims)
     steps = [
-        f"sized AS (SELECT g, count(*) AS size FROM kept_rows GROUP BY g HAVING count(*) >= {Q.LEAST})",
+        f"""groups AS (SELECT g, lg, count(*) FILTER (NOT base_failed) AS n FROM vectors GROUP BY g, lg),
+langs AS (SELECT lg, sum(n) AS n_lang, min(n) AS least FROM groups GROUP BY lg),
+placed AS (
+  SELECT *, CASE WHEN n >= {Q.LEAST} THEN g WHEN n_lang >= {Q.LEAST} THEN lg ELSE 'all' END AS used FROM groups JOIN langs USING (lg)),
+pools AS MATERIALIZED (
+  SELECT g, used, list_filter([
+    CASE WHEN n >= {Q.LEAST} THEN g END,
+    CASE WHEN least < {Q.LEAST} AND n_lang >= {Q.LEAST} THEN lg END,
+    CASE WHEN (SELECT bool_or(used = 'all') FROM placed) THEN 'all' END], lambda x: x IS NOT NULL) AS pools FROM placed),
+kept_rows AS MATERIALIZED (
+  SELECT unnest(pools) AS g, len, symbols, lines, repeats FROM vectors JOIN pools USING (g) WHERE NOT base_failed)""",
+        "sized AS (SELECT g, count(*) AS size FROM kept_rows GROUP BY g)",
         f"middle AS (SELECT g, size, {medians} FROM sized s)",
         f"e0 AS MATERIALIZED (SELECT * FROM {factors(f'(SELECT g, {centre}, {zero} FROM middle)')})",
     ]
@@ -110,7 +121,9 @@ def quality_sql() -> str:
             f"e{k + 1} AS MATERIALIZED (SELECT * FROM {factors(f's{k}')})",
         ]
     last = f"e{Q.STEPS}"
-    judged = distance(f"(SELECT v.*, {last}.* EXCLUDE (g) FROM vectors v LEFT JOIN {last} USING (g))")
+    judged = distance(
+        f"(SELECT v.*, {last}.* EXCLUDE (g) FROM (SELECT * FROM vectors JOIN pools USING (g)) v LEFT JOIN {last} ON v.used = {last}.g)"
+    )
     return (
         r"""
 WITH texts AS (
@@ -133,13 +146,12 @@ counted AS (
   FROM texts JOIN lined USING (rid) LEFT JOIN covered USING (rid)),
 vectors AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    coalesce('=' || lang, '-') || chr(31) || coalesce('=' || source, '-') AS g,
+    coalesce('=' || lang, '-') || chr(31) || coalesce('=' || source, '-') AS g, 'L' || coalesce('=' || lang, '-') AS lg,
     ln((word_chars + 500.0::DOUBLE) / (n_words + 100.0::DOUBLE)) AS len,
     asin(sqrt(least(1.0::DOUBLE, n_symbols / (word_chars + 500.0::DOUBLE)))) AS symbols,
     asin(sqrt(least(1.0::DOUBLE, n_dup_lines / (n_lines + 10.0::DOUBLE)))) AS lines,
     asin(sqrt(least(1.0::DOUBLE, n_repeat_words / (n_words + 100.0::DOUBLE)))) AS repeats
   FROM counted),
-kept_rows AS MATERIALIZED (SELECT g, len, symbols, lines, repeats FROM vectors WHERE NOT base_failed),
 """
         + ",\n".join(steps)
         + f"""

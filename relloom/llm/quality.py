@@ -16,8 +16,7 @@ since short texts scatter more.
 Documents that fail the base rules take no part in the estimate. Groups of fewer than ``LEAST``
 documents are too small for one: their documents are judged by the estimate of all documents of their
 language, and by that of all documents if the language has fewer than ``LEAST`` too, so every document
-gets a distance. Without ``pooled``, as the SQL of op7 has it, they are kept unjudged. Null languages and sources are groups of
-their own. Null texts have no words. Repeated rows count each. Only DataFrame functions are used.
+gets a distance. Null languages and sources are groups of their own. Null texts have no words. Repeated rows count each. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -243,12 +242,10 @@ def _pools(keyed: DataFrame) -> DataFrame:
 EVERY = "A"
 
 
-def verdicts(stats: DataFrame, pooled: bool = True) -> DataFrame:
-    """``stats`` with ``dist`` and ``kept``; without ``pooled``, ``dist`` is null in groups below LEAST."""
+def verdicts(stats: DataFrame) -> DataFrame:
+    """``stats`` with ``dist`` and ``kept``."""
     keyed = stats.withColumns({"g": _group(), "lg": _language(), **_vector()})
     pools = _pools(keyed)
-    if not pooled:
-        pools = pools.where("used = g").select("g", "used", F.array("g").alias("pools"))
     keyed = keyed.join(pools, "g", "left")
     rows = keyed.where(~F.col("base_failed")).select(F.explode("pools").alias("g"), *DIMS)
     estimate = _first(rows)
@@ -268,6 +265,6 @@ def verdicts(stats: DataFrame, pooled: bool = True) -> DataFrame:
     return out.withColumn("kept", kept).select(*stats.columns, "dist", "kept")
 
 
-def quality(docs: DataFrame, pooled: bool = True, **columns: str) -> DataFrame:
+def quality(docs: DataFrame, **columns: str) -> DataFrame:
     """(doc_id, base counts, base_failed, dist, kept) for every document."""
-    return verdicts(statistics(docs, **columns), pooled).select("doc_id", *COUNTS, "base_failed", "dist", "kept")
+    return verdicts(statistics(docs, **columns)).select("doc_id", *COUNTS, "base_failed", "dist", "kept")
