@@ -1,11 +1,9 @@
 """Secret scans: fixed patterns, and a lexer of assignments with constant propagation.
 
-The lexer reads source and configuration syntax (``name = "literal"``, ``"name": 'literal'``,
-``name := literal``, ``NAME=literal``, ``name => literal``) as name-literal pairs. A value that is a
-bare name of an earlier pair of the same text stands for that pair's literal, and string literals
-joined by ``+`` or ``.`` are one constant. A literal is scored by its target names, its own and
-those it is passed on to: sensitive parts of the name, the spread of its characters, and signs of a
-placeholder. Literals that reach ``THRESHOLD`` give spans of kind ``literal``.
+The lexer (``assignments.py``) reads source and configuration syntax as names and literals, and finds for each
+name used as a value the literal it stands for. A literal is scored by all names it reaches, its own and those
+it is passed on to: sensitive parts of the name, the spread of its characters, and signs of a placeholder. The
+key or section around it counts ``NESTED`` less. Literals that reach ``THRESHOLD`` give spans of kind ``literal``.
 
 Kinds: ``assign``, ``access`` and ``hex`` (fixed patterns, see ``PATTERNS``), then ``literal``.
 Spans are code points, ends exclusive. Null and empty texts have no spans. Rows with the same id are
@@ -24,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relloom.llm import assignments
+
 KINDS = ("assign", "access", "hex", "literal")
 # The patterns of the base kinds and the least length of each.
 ASSIGN = re.compile(
@@ -47,14 +47,8 @@ PLACEHOLDER = re.compile(
 )
 THRESHOLD = 1.0
 LITERAL_LEAST = 6
-#: A name, an optional closing quote, the sign of assignment; the value is lexed from its end. Names and
-#: runs of blanks have any length: a name is tried at the start of its run only, and nothing is given back.
-PAIR = re.compile(
-    r"(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)[\"']?+[ \t]*+(?::=|=>|[:=])[ \t]*+(?![=:/])", re.ASCII
-)
-QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'")
-JOINER = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'])")
-BARE = re.compile(r"[A-Za-z0-9+/_.=\-]+")
+#: What the name of a key or section around a literal counts less than a name of its own.
+NESTED = 0.2
 
 
 def entropy(literal: str) -> float:
@@ -80,57 +74,29 @@ def literal_score(names: list[str], literal: str) -> float:
     return score + (0.4 if spread >= 3.5 and kinds >= 2 else 0.1 if kinds >= 2 and spread >= 2.5 else -0.3)
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int]], str, str | None]]:
-    """(name, spans of the literal's parts, literal, name referred to) of all assignments."""
-    out = []
-    at = 0
-    while m := PAIR.search(text, at):
-        at = end = m.end()
-        spans, value, refers = [], [], None
-        quoted = QUOTED.match(text, end)
-        while quoted:
-            g = 1 if quoted.group(1) is not None else 2
-            spans.append(quoted.span(g))
-            value.append(quoted.group(g))
-            end = quoted.end()
-            more = JOINER.match(text, end)
-            quoted = QUOTED.match(text, more.end()) if more else None
-        if not spans:
-            bare = BARE.match(text, end)
-            if not bare:
-                continue
-            spans, value = [bare.span()], [bare.group()]
-            refers = bare.group() if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", bare.group(), re.ASCII) else None
-            # A bare value may itself be the name of the next assignment.
-            end = at if PAIR.match(text, at) else bare.end()
-        at = max(at, end)
-        out.append((m.group(1), spans, "".join(value), refers))
-    return out
-
-
 def literals(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, target name, score) of the literals that reach the threshold."""
-    found = pairs(text)
-    defined: dict[str, int] = {}  # the latest pair that gives a name its literal
-    names: list[list[str]] = []
-    for k, (name, _, _, refers) in enumerate(found):
-        names.append([name])
-        source = defined.get(refers) if refers else None
-        if source is not None:
-            names[source].append(name)
-            defined[name] = source
-        else:
-            defined[name] = k
-    out = []
-    for (_, spans, literal, refers), reached in zip(found, names, strict=True):
+    found = assignments.pairs(text, name_score)
+    to = assignments.definitions(found)
+    reached: list[dict[str, bool]] = [dict.fromkeys(p.names, True) for p in found]
+    for pair, k in zip(found, to, strict=True):
+        if k is not None:
+            reached[k].update(dict.fromkeys(pair.names, True))
+    out = {}
+    for pair, k, names in zip(found, to, reached, strict=True):
         # A bare word is a literal only if it holds more than a plain word or name does.
-        if refers and not (re.search(r"\d", refers) and re.search(r"[A-Za-z]", refers)):
+        bare = pair.refers
+        if k is not None or bare and not (re.search(r"[0-9]", bare) and re.search(r"[A-Za-z]", bare)):
             continue
-        score = literal_score(reached, literal)
+        score, best = literal_score(list(names), pair.literal), max(names, key=name_score)
+        if pair.around is not None:
+            nested = literal_score([pair.around], pair.literal) - NESTED
+            score, best = max((score, best), (nested, pair.around), key=lambda x: x[0])
         if score >= THRESHOLD:
-            best = max(reached, key=name_score)
-            out += [(a, b, best, score) for a, b in spans if a < b]
-    return out
+            for a, b in pair.spans:
+                if a < b and score > out.get((a, b), ("", 0.0))[1]:
+                    out[a, b] = best, score
+    return [(a, b, *out[a, b]) for a, b in sorted(out)]
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -148,7 +114,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
     if not text:
         return [], []
     base = base_spans(text)
-    own = [(a, "literal", b, n, s) for a, b, n, s in literals(text)] if ":" in text or "=" in text else []
+    own = [(a, "literal", b, n, s) for a, b, n, s in literals(text)] if ":" in text or "=" in text or "</" in text else []
     return base, own
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -436,9 +437,40 @@ def test_assignments_of_any_width(text, found):
     assert all(x not in secret_scan.masked(text) for x in found)
 
 
+V = "Zk3j9dK2lm0Qp"
+
+
+@pytest.mark.parametrize("text, found", [
+    (f'os.environ["DB_PWD"] = "{V}"', [V]), (f"os.environ['DB_PWD']='{V}'", [V]), (f'pwd: str = "{V}"', [V]),
+    (f'pwd: dict[str, list[str]] | None = "{V}"', [V]), (f'char pwd[] = "{V}";', [V]), (f'char pwd[64] = "{V}";', [V]),
+    (f'pwd = """{V}"""', [V]), (f"pwd = \'\'\'\n{V}\n\'\'\'", [f"\n{V}\n"]), (f'pwd = r"{V}"', [V]), (f'pwd = f"{V}"', [V]),
+    (f'pwd = (  # of the store\n    # next\n    "{V}"\n)', [V]), (f'pwd = (\n  "Zk3j9dK2"\n  "lm0QpX"\n)', ["Zk3j9dK2", "lm0QpX"]),
+    (f"const pwd = `{V}`;", [V]), (f"<pwd>{V}</pwd>", [V]), (f'<entry key="db.pwd">\n  {V}\n</entry>', [V]),
+    (f'<add key="DB_PWD" value="{V}"/>', [V]), (f"credentials:\n  db: {V}\n  host: h1", [V]),
+    (f"credentials:\n\n  # main\n  - db: {V}\nother:\n  db: {V}", [V]), (f"[credentials]\ndb = {V}\n[paths]\ndb = {V}", [V]),
+    (f'{{"credentials": {{"db": "{V}"}}, "paths": {{"db": "{V}"}}}}', [V]),
+    (f'connect(pwd=MAIN)\nMAIN = "{V}"', [V]), (f'a = "{V}"\nb = f"{{a}}"\npwd = b', [V]), (f"X={V}\nexport PWD=${{X}}", [V]),
+    (f'x = "run --pwd={V} now"', [V]), (f"it isn\'t so: the dogs\' pwd = \'{V}\'", [V]), (f"pwd={V}==", [V + "=="]),
+    # Plain prose, references without a literal, placeholders, signs that assign nothing.
+    ("The password: ask the owner. He said: \"tokens are fine\" and left.", []), ("pwd = getpass(prompt)", []),
+    ('pwd = os.environ["DB_PWD"]', []), ("if pwd == other: pass", []), (f'pwd != "{V}"', []), ("pwd = pwd", []), ("a = b\nb = a", []),
+    ("credentials:\n  region: us-east-1\n  host: db.local", []), ("<token>three plain words</token>", []), ("pwd = ${DB_PWD}", []),
+    ('pwd: "', []), ("pwd = (", []), ("\'\'\'", []), ("<pwd", []), ("", []),
+])
+def test_syntax_of_assignments(text, found):
+    assert [text[a:b] for a, b, _, _ in secret_scan.literals(text)] == found
+    assert all(x.strip() not in secret_scan.masked(text) for x in found if text.count(x) == 1)
+
+
 def test_assignments_take_linear_time():
-    for text in ("a" * 400_000, "a." * 200_000, "-" * 400_000, "a" + " " * 400_000, ("a" + " " * 50) * 8000, "a = " * 100_000):
+    long = ("a" * 400_000, "a." * 200_000, "-" * 400_000, "a" + " " * 400_000, ("a" + " " * 50) * 8000, "a = " * 100_000)
+    odd = ('"' * 400_000, "'a " * 130_000, "a=" * 200_000, "a[" * 200_000, 'a["' * 130_000, "a: b[" * 80_000, "a=(#a=(\n" * 40_000,
+           "<a " * 130_000, "<a>" * 130_000, "{" * 400_000, "a:\n" * 130_000, "\n".join(" " * k + "a:" for k in range(800)), "\\\"" * 200_000,
+           'a="" ' * 80_000, "a=(" * 130_000, "$" * 400_000, "a=${" * 100_000, "`'\"" * 130_000, "[" * 400_000, "a: b|" * 80_000)
+    for text in (*long, *odd):
+        begin = time.monotonic()
         assert secret_scan.literals(text + ":") == []
+        assert time.monotonic() - begin < 10, text[:10]
 
 
 # 9. Decontamination.
