@@ -13,16 +13,16 @@ or another. All suffixes of the corpus need not be sorted for that:
 3. Buckets are sorted one block of them at a time (``BLOCK`` bytes, or one bucket). The occurrences
    are laid out with their anchors at multiples of ``COVER``; ranks of the cover sample, one position
    in COVER, are computed first, by doubling, to a depth of ``DEPTH`` bytes. A suffix is ordered by
-   its bucket and offset, the rank of its first sample position, and its first and last bytes, which
-   the rank does not reach; long ties never have to be read. Neighbours in that order that agree
+   its bucket and offset, its first bytes up to a sample position, that position's rank, and the last bytes,
+   which the rank does not reach; long ties never have to be read. Neighbours in that order that agree
    in all of these are equal over LENGTH bytes. As the anchors align all suffixes that can be equal,
    the cover needs one residue only, where a general difference cover has about sqrt(COVER).
 4. A bucket with more than ``HOT`` kinds of occurrences is not sorted in one task: its starts are counted by
    digests of their strings, with partial sums before the shuffle.
 
 Texts are UTF-8 bytes; null and empty ones have none. Repeated rows are copies of each other, so
-both lose what is long enough. Rows with a null id are neither judged nor compared. Ids must tell
-different texts apart. Other columns are not read.
+both lose what is long enough. A row's key is its id with a 64-bit hash of its text, so rows with a null
+id, or with different texts under one id, are judged and compared like any other. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -161,7 +161,7 @@ def repeated_starts(bucket: np.ndarray, offset: np.ndarray, cut: list[bytes]) ->
     joined = np.frombuffer(b"".join(cut), dtype=np.uint8)
     text[np.arange(len(joined)) + np.repeat(base - (np.cumsum(size) - size), size)] = joined
     # Ranks of the cover sample, from 8 bytes on by doubling.
-    eight = _ranks(text.view("<u8")).reshape(-1, COVER // 8)
+    eight = _ranks(text.view(">u8").astype(np.uint64)).reshape(-1, COVER // 8)
     rank = _pair(_pair(eight[:, 0], eight[:, 1]), _pair(eight[:, 2], eight[:, 3]))
     two = _pair(rank[:-1], rank[1:])
     four = _pair(two[:-2], two[2:])
@@ -173,16 +173,26 @@ def repeated_starts(bucket: np.ndarray, offset: np.ndarray, cut: list[bytes]) ->
     order_in = (offset[of] - start).astype(np.uint64)
     first = np.minimum(-(-place // COVER), len(five) - 1)
     key = (bucket[of].astype(np.uint64) << np.uint64(40)) | (order_in << np.uint64(32)) | five[first]
-    words = np.ndarray(shape=(len(text) - 7,), dtype="<u8", buffer=text.data, strides=(1,))
-    ends = [*range(0, COVER, 8), *range(DEPTH, LENGTH, 8)]
-    mixed = T.mix(key)
-    for e in ends:
-        mixed = T.mix(mixed ^ words[place + e]) + np.uint64(e + 1)
-    order = np.argsort(mixed)
+    # Starts that are alone with their bucket, offset and rank are not repeated; the others are put in suffix order,
+    # by the last column first: bucket and offset, first bytes, rank, last bytes.
+    order = np.argsort(key, kind="stable")
+    twice = key[order[1:]] == key[order[:-1]]
+    order = order[np.concatenate(([False], twice)) | np.concatenate((twice, [False]))]
+    words = np.ndarray(shape=(len(text) - 7,), dtype=">u8", buffer=text.data, strides=(1,))
+    begin, end = range(0, COVER, 8), range(DEPTH, LENGTH, 8)
+    low = np.uint64(0xFFFFFFFF)
+    for column in (*reversed(end), None, *reversed(begin), -1):
+        values = key[order]
+        if column is None:
+            values &= low
+        elif column < 0:
+            values >>= np.uint64(32)
+        else:
+            values = words[place[order] + column].astype(np.uint64)
+        order = order[np.argsort(values, kind="stable")]
     a, b = order[:-1], order[1:]
-    same = (mixed[a] == mixed[b]) & (key[a] == key[b])
-    some = np.flatnonzero(same)
-    for e in ends:
+    some = np.flatnonzero(key[a] == key[b])
+    for e in (*begin, *end):
         some = some[words[place[a[some]] + e] == words[place[b[some]] + e]]
     found = np.zeros(len(of), dtype=bool)
     found[a[some]] = True
@@ -263,9 +273,9 @@ def _tasks(df: DataFrame) -> int:
 
 def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, text, runs): every document with its runs (lo, hi) of repeated starts, unmerged."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    named = rows.where("id IS NOT NULL")
-    anchors = materialise(_anchors(named))
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    rows = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+    anchors = materialise(_anchors(rows))
     counted = anchors.groupBy("anchor").agg(
         F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")
     ).where("n > 1")
@@ -283,8 +293,8 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
     # One occurrence of each kind is compared; what it finds is news only if it is the only one.
     sizes = wholes.groupBy("anchor").agg((F.count("*") > hot).alias("hot"))
     compared = materialise(wholes.join(sizes, "anchor").select("one.id", "one.start", "hot"))
-    # One placing of the texts by id serves the reading of the occurrences and the cutting.
-    placed = named.repartition(_tasks(rows), "id")
+    # One placing of the texts by key serves the reading of the occurrences and the cutting.
+    placed = rows.repartition(_tasks(rows), "id")
     start = F.col("start").cast("long")
     runs = settled.select("id", start.alias("lo"), (start + F.col("more")).alias("hi"))
     for is_hot in (False, True):
@@ -295,8 +305,7 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
         found = _occurrences(placed.join(wanted, "id").select("id", "text", "wanted"))
         runs = runs.unionByName(_counted_starts(found) if is_hot else _sorted_buckets(found))
     gathered = runs.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    unnamed = rows.where("id IS NULL").withColumn("runs", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
-    return placed.join(gathered, "id", "left").unionByName(unnamed)
+    return placed.join(gathered, "id", "left").select("id.id", "text", "runs")
 
 
 def spans(runs: list[dict] | None) -> list[tuple[int, int]]:

@@ -571,14 +571,40 @@ def removed_by_force(texts):
     return sorted(out)
 
 
+def got_and_wanted(df, **how):
+    got = suffix_dedup.deduplicated(suffix_dedup.removal(df, **how)).collect()
+    return sorted((str(r[0]), *tuple(r)[1:5]) for r in got), removed_by_force(rows_of(df))
+
+
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
 def test_suffix_dedup(documents, odd, hot):
-    for df in (documents.limit(80), odd.where("doc_id IS NOT NULL")):
-        got = suffix_dedup.deduplicated(suffix_dedup.removal(df, hot=hot)).collect()
-        assert sorted((str(r[0]), *tuple(r)[1:5]) for r in got) == removed_by_force(rows_of(df))
+    for df in (documents, odd):
+        got, want = got_and_wanted(df, hot=hot)
+        assert got == want
     assert suffix_dedup.deduplicated(suffix_dedup.removal(odd.limit(0))).count() == 0
-    none = suffix_dedup.deduplicated(suffix_dedup.removal(odd)).where("doc_id IS NULL").first()
-    assert none.n_removed == 0 and none.n_bytes == 10
+
+
+def test_suffix_dedup_in_small_blocks(documents, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    got, want = got_and_wanted(documents)
+    assert got == want
+
+
+def test_suffix_dedup_of_null_and_shared_ids(spark):
+    rng = random.Random(4)
+    long = ["".join(rng.choice("abc \u00e9") for _ in range(690)) for _ in range(3)]
+    rows = [(1, long[0]), (None, long[0]), (None, long[1]), (2, long[2] + long[1][:300]), (2, "short"), (2, None), (3, long[2]), (3, long[2]), (None, None)]
+    got, want = got_and_wanted(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == want and sum(r[2] > 0 for r in got) == 6
+
+
+def test_long_ties_come_in_order():
+    rng = np.random.default_rng(1)
+    same = rng.integers(97, 99, 230).astype(np.uint8).tobytes()
+    cut = [same, same[:215] + b"x" * 15, b"y" * 12 + same[12:], same[:1] + b"z" + same[2:]]
+    of, start = suffix_dedup.repeated_starts(np.zeros(4, int), np.full(4, 40), cut)
+    want = Counter(c[p : p + 200] for c in cut for p in range(31))
+    assert set(zip(of.tolist(), start.tolist())) == {(k, p) for k, c in enumerate(cut) for p in range(31) if want[c[p : p + 200]] > 1}
 
 
 # The pipeline.
