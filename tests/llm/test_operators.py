@@ -196,6 +196,48 @@ def test_passages_with_a_wide_gap_and_twice(spark):
     assert {(y0, y1) for _, _, y0, y1 in substring_dedup.passages(t[2], twice)} == {(0, 46), (126, 172)}
 
 
+def test_passages_among_scattered_matches():
+    """A passage of 100 tokens with 90 in common, behind and before texts that agree in every 4th or 5th token."""
+    for every in (2, 3, 4, 5):
+        for seed in range(20):
+            rng = np.random.default_rng(seed)
+            a = rng.integers(0, 2**63, 500).astype(np.uint64)
+            b = rng.integers(0, 2**63, 500).astype(np.uint64)
+            b[::every] = a[::every]
+            b[200:300] = a[200:300]
+            odd = 200 + rng.choice(np.arange(1, 99), 10, replace=False)
+            b[odd] = rng.integers(0, 2**63, 10).astype(np.uint64)
+            found = substring_dedup.passages(a, b)
+            assert any(x0 <= 210 and x1 >= 290 for x0, x1, _, _ in found)
+            assert all(x0 >= 150 and x1 <= 350 for x0, x1, _, _ in found)
+
+
+def test_passages_by_force(monkeypatch):
+    """All pairs of windows of short texts: links are exact, and next to none is lost."""
+    monkeypatch.setattr(substring_dedup, "TOKENS", 8)
+    rng = np.random.default_rng(12)
+    linked = lost = 0
+    for _ in range(60):
+        a = rng.integers(0, 60, 22).astype(np.uint64)
+        b = rng.integers(0, 60, 22).astype(np.uint64)
+        size, x, y = rng.integers(8, 15), rng.integers(0, 8), rng.integers(0, 8)
+        b[y : y + size] = a[x : x + size]
+        b[rng.integers(0, 22, rng.integers(0, 4))] = 99
+
+        def alike(x0, x1, y0, y1):
+            one, two = set(a[x0:x1].tolist()), set(b[y0:y1].tolist())
+            return 100 * len(one & two) >= 75 * len(one | two)
+
+        got = substring_dedup.passages(a, b)
+        assert all(alike(*g) and g[1] - g[0] >= 8 and g[3] - g[2] >= 8 for g in got)
+        ends = [(i, j) for i in range(22) for j in range(i + 8, 23)]
+        want = any(alike(*p, *q) for p in ends for q in ends)
+        assert want or not got
+        linked += want
+        lost += want and not got
+    assert linked >= 30 and lost <= linked // 10, (linked, lost)
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(6)
     n = 4000
