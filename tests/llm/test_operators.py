@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on nulls, empty texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -162,6 +163,37 @@ def test_repeated_passages_are_found(documents, odd):
     assert substring_dedup.repeated_passages(odd.limit(0)).count() == 0
 
 
+def test_windows_of_several_texts():
+    rng = np.random.default_rng(4)
+    first = np.concatenate(([0], np.cumsum([300, 0, 45, 46, 1, 120])))
+    tokens = rng.integers(0, 40, first[-1]).astype(np.uint64)
+    seed = np.uint64(77)
+    got = sorted(zip(*(x.tolist() for x in substring_dedup.windows(tokens, seed, first))))
+    each = [substring_dedup.windows(tokens[x:y], seed) for x, y in zip(first, first[1:])]
+    assert got == sorted(tuple(int(v + x) for v in w) for x, found in zip(first, each) for w in zip(*found))
+
+
+def test_classes_by_force_over_all_pairs(documents):
+    """Every pair of documents is verified: the classes are the same, and so are almost all repeated words."""
+    sd = substring_dedup
+    texts = {i: np.frombuffer((t or "").encode(), dtype=np.uint8) for i, t in rows_of(documents)}
+    tokens = {i: sd._tokens(raw, np.array([0, len(raw)]))[0] for i, raw in texts.items()}
+    kinds = {i: sd._kinds(t) for i, t in tokens.items()}
+    root = {i: i for i in texts}
+    repeated = defaultdict(set)
+    for a, b in itertools.combinations(sorted(texts), 2):
+        for x0, x1, y0, y1 in sd.passages(tokens[a], tokens[b], [kinds[a], kinds[b]]):
+            repeated[a] |= set(range(x0, x1 + sd.T.SHINGLE - 1))
+            repeated[b] |= set(range(y0, y1 + sd.T.SHINGLE - 1))
+            low_, high = sorted((root[a], root[b]))
+            root = {i: low_ if r == high else r for i, r in root.items()}
+    got = {r.doc_id: r for r in sd.repeated_passages(documents).collect()}
+    assert {i: r.class_id for i, r in got.items()} == root
+    assert {i for i, r in got.items() if r.repeats} == set(repeated)
+    found, every = sum(r.n_repeat_words for r in got.values()), sum(len(w) for w in repeated.values())
+    assert 0.99 * every <= found <= every
+
+
 def test_links_behind_frequent_lines(spark):
     """A frequent line gives a passage's min-hashes to other documents, which come first and last in its groups."""
     rng = random.Random(8)
