@@ -218,6 +218,22 @@ def test_links_behind_frequent_lines(spark):
     assert got[20].n_repeat_words >= 60 and got[21].n_repeat_words >= 60
 
 
+def test_links_inside_a_class(spark, monkeypatch):
+    """Documents in one class, none of them first or last in its groups, are linked with each other too."""
+    monkeypatch.setattr(substring_dedup, "PART", 3)
+    rng = random.Random(5)
+
+    def words(n):
+        return [f"v{rng.randrange(10**9)}" for _ in range(n)]
+
+    one, two = words(60), words(70)
+    held = {0: [one], 1: [one], 2: [one, two], 3: [one, two], 4: [two], 5: [one, two], 6: [two], 7: []}
+    texts = {i: sum([words(20) + p for p in ps], []) + words(30) for i, ps in held.items()}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in substring_dedup.repeated_passages(docs).collect()}
+    assert got == {i: sum(any(p is q for p in ps for q in qs) for j, qs in held.items() if j != i) for i, ps in held.items()}
+
+
 def test_passages_with_a_wide_gap_and_twice(spark):
     rng = np.random.default_rng(2)
     t = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (79, 21, 46, 30, 50)]
