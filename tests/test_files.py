@@ -5,14 +5,17 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from relloom.corpus import raw, relations, scored, test_relations as unlabelled
+from relloom.catalog import cleaning
+from relloom.corpus import raw, relations, scored, spread, test_relations as unlabelled
 from relloom.operators.evaluate import predict_labels
+from relloom.plans import prepare as plans
 from relloom.plans.config import Config
 from relloom.plans.prepare import (
     ensemble_files, integer_tables, prepare, prepare_files, test_table as encode_test, training_rows, training_table,
 )
 from relloom.rules import special_tokens
 from relloom.sources.relations import SCHEMAS, read_relations, read_stop_words, write_relations
+from relloom.sources import runs
 from relloom.sources.runs import checkpoint_score, name_weight, parse_probs, probs_text, read_runs
 from relloom.streaming.clean_stream import clean_stream, stream_relations, write_stream
 from tests.conftest import SF
@@ -151,6 +154,69 @@ def test_stream_equals_batch(spark, tmp_path):
     assert clean_stream(rows, [("stop_words", {"stop_words": ["a"]})]).columns == rows.columns
 
 
+def test_corpus_of_one_row_group_is_spread(spark, tmp_path):
+    """A file of many splits whose rows are all in one row group gives work to all cores."""
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 10).alias("text"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = spark.read.parquet(str(tmp_path / "docs"))
+        assert rows.rdd.getNumPartitions() >= cores
+        placed = spread(rows, "doc_id")
+        sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= cores and max(sizes) <= 2000 and sorted(placed.collect()) == sorted(rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    even = spark.range(4000, numPartitions=cores).withColumnRenamed("id", "doc_id")
+    assert spread(even, "doc_id") is even
+
+
+def test_stream_query_splits_with_the_corpus(spark, monkeypatch):
+    """The files of the stream are those of the corpus, not a fixed number of growing ones."""
+    seen = []
+    monkeypatch.setattr(cleaning, "stream_relations", lambda s, p, **k: seen.append(len(s.read.parquet(p).inputFiles())) or stream_relations(s, p, **k))
+    out = cleaning.stream(spark, SF)
+    assert out.count() == parsed(spark).count()
+    assert seen[0] >= min(spark.sparkContext.defaultParallelism, len(relations(spark, SF).inputFiles())) > 4
+
+
+def test_submissions_are_small_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "FILE_ROWS", 40)
+    rows = spark.range(100, numPartitions=1).select(
+        "id", F.lit("a").alias("pred_label"), F.array(F.col("id") / 7, F.lit(0.1)).alias("probs"))
+    runs.write_submission(rows, str(tmp_path), "x_0.5_y")
+    files = sorted((tmp_path / "run=x_0.5_y").glob("part-*"))
+    assert len(files) == 3 and all(f.name.endswith(".csv.gz") for f in files)
+    got = read_runs(spark, str(tmp_path), layout="folders")
+    assert sorted(got.select("id", "pred_label", "probs").collect()) == sorted(rows.collect())
+
+
+def test_table_of_test_rows_alone(spark, monkeypatch):
+    """The table to predict is the same without train rows being encoded, and kept columns are those asked for."""
+    cfg = Config(token_max_len=20, vocab_size=50, select_DC=["remove_duplicated"])
+    rows, test = parsed(spark), unlabelled(spark, SF)
+    train, both = integer_tables(rows, test, cfg, keep=["id", "label", "split"])
+    assert set(train.columns) == {"id", "label", "split", "label_num", "input_ids", "token_type_ids", "attention_mask"}
+    whole, _ = integer_tables(rows, test, cfg)
+    assert sorted(train.collect()) == sorted(whole.select(train.columns).collect())
+    encoded = []
+    real = plans.encode_tokens
+    monkeypatch.setattr(plans, "encode_tokens", lambda *a: encoded.append(1) or real(*a))
+    alone = plans.integer_test_table(rows, test, cfg)
+    assert len(encoded) == 1
+    assert sorted(alone.collect()) == sorted(both.collect())
+
+
+def test_train_rows_are_scored_once(spark, monkeypatch):
+    written = []
+    real = plans.materialise
+    monkeypatch.setattr(plans, "materialise", lambda df: written.append(df.columns) or real(df))
+    plans.adversarial_split(parsed(spark).limit(500), unlabelled(spark, SF))
+    assert any("prob_1" in c for c in written)
+
+
 def test_stream_works_in_batches(spark, tmp_path):
     rows = relations(spark, SF).drop("label_num").select(*[f.split()[0] for f in SCHEMAS["parsed"].split(", ")])
     rows.repartition(3).write.parquet(str(tmp_path / "in"))

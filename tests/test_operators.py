@@ -175,6 +175,16 @@ def test_duplicates(hot, keys):
     assert ids(dd.duplicates(hot, keys, "last")) == {i for g in groups for i in g if i != max(g)}
 
 
+def test_conflicts_shuffle_digests(spark):
+    """Texts that differ in where they part, and nulls, are keys of their own; no sentence is shuffled for the conflicts."""
+    rows = [(1, "ab", "c", "d", "x"), (2, "a", "bc", "d", "y"), (3, None, "c", "d", "x"), (4, None, "c", "d", "y"),
+            (5, "", "c", "d", "x"), (6, "-", "c", "d", "y"), (7, "ab", "c", "d", "z")]
+    df = spark.createDataFrame(rows, "id long, sentence string, subject_entity string, object_entity string, label string")
+    found = dd._conflict_ids(df)
+    assert {r.id for r in found.collect()} == {1, 3, 4, 7}
+    assert "sentence" not in found.columns
+
+
 def test_conflicts(hot):
     rows = local(hot)
     three, four = by_key(rows, KEYS), by_key(rows, [*KEYS, "label"])
