@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relloom.llm import decontaminate, minhash_dedup, mixing, quality, secret_scan
-from relloom.llm.graph import fresh, keyed, table
-from relloom.session import materialise, scratch_path
+from relloom.llm.graph import fresh, table
+from relloom.session import scratch_path
 
 #: The robust outliers and the min-hash join are not expressible in one SQL statement of use.
 ORACLE_SQL = None
@@ -21,11 +21,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. Each row is judged by its own text, whatever its id."""
-    rows, row = keyed(docs)
-    found = quality.quality(rows, id_col=row)
-    name = fresh(rows, "gone")
-    gone = materialise(found.where("NOT kept").select(F.col("doc_id").alias(name)))
-    return rows.join(gone, rows[row] == gone[name], "left_anti").select(docs.columns)
+    return quality.good_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +44,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The mix's columns get an underscore behind their names where ``documents`` has such a column.
     """
-    rows, row = keyed(docs)
-    mixed = mixing.mix(rows, row_col=row).where("taken > 0")
-    names = {c: fresh(rows, c) for c in ("source_size", "target", "copies", "taken")}
-    size, key = fresh(rows, "mix_size"), fresh(rows, "mix_row")
-    mixed = materialise(
-        mixed.select(F.col("row").alias(key), F.col("size").alias(size), *[F.col(c).alias(n) for c, n in names.items()])
-    )
-    return rows.join(mixed, rows[row] == mixed[key]).select(*docs.columns, size, *names.values())
+    names = {"size": fresh(docs, "mix_size")} | {c: fresh(docs, c) for c in ("source_size", "target", "copies", "taken")}
+    return mixing.taken_rows(docs, names)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

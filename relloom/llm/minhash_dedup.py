@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relloom.llm import text as T
-from relloom.llm.graph import components, extended, fresh
+from relloom.llm.graph import Steps, components, extended, fresh
 from relloom.session import materialise
 
 COORDS = 64
@@ -80,28 +80,30 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, f"id {kind}, n_shingles bigint, set_key binary, sig array<bigint>")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def _postings(steps: Steps, classes: DataFrame) -> DataFrame:
     """Written table (id, key): the prefix of every class in the lists held by two or more."""
     posted = classes.select("id", F.posexplode("sig").alias("pos", "value")).select(
         "id", F.xxhash64("pos", "value").alias("key")
     )
-    lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    lists = steps.write("lists", posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = posted.join(lists, "key")
     rarest = W.partitionBy("id").orderBy("n", "key")
     placed = shared.select(
         "id", "key", F.row_number().over(rarest).alias("at"), F.count("*").over(W.partitionBy("id")).alias("m")
     )
-    return materialise(placed.where(F.col("at") <= F.col("m") - (MATCHES - 1)).select("id", "key"))
+    kept = placed.where(F.col("at") <= F.col("m") - (MATCHES - 1)).select("id", "key")
+    return steps.write("postings", kept, done=("lists",))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(steps: Steps, pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Written links (a, b): the pairs whose signatures and then full sets are similar enough."""
     sigs = classes.select("id", "sig")
     a, b = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    close = materialise(
+    close = steps.write(
+        "close",
         pairs.join(a, "a").join(b, "b")
         .where(F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) >= MATCHES)
-        .select("a", "b")
+        .select("a", "b"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +122,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
     kind = classes.schema["id"].dataType.simpleString()
     ta, tb = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     full = close.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b")
-    return materialise(full.mapInArrow(run, f"a {kind}, b {kind}"))
+    return steps.write("links", full.mapInArrow(run, f"a {kind}, b {kind}"), done=("close",))
 
 
 def _set(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
@@ -139,7 +141,7 @@ def _tried_first(postings: DataFrame) -> DataFrame:
     )
 
 
-def _shared(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _shared(steps: Steps, members: DataFrame, texts: DataFrame) -> DataFrame:
     """Written table (id, n, s): shingles of each member, and how many of them another one has too."""
     kind = members.schema["id"].dataType.simpleString()
 
@@ -156,20 +158,21 @@ def _shared(members: DataFrame, texts: DataFrame) -> DataFrame:
                 )
 
     rows = texts.join(members, "id", "left_semi").select("id", "text")
-    posted = materialise(rows.mapInArrow(run, f"id {kind}, shingle bigint, n bigint"))
+    posted = steps.write("posted", rows.mapInArrow(run, f"id {kind}, shingle bigint, n bigint"))
     known = posted.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
-    return materialise(posted.join(known, "shingle").groupBy("id", "n").agg(F.count("*").alias("s")))
+    return steps.write("shared", posted.join(known, "shingle").groupBy("id", "n").agg(F.count("*").alias("s")), done=("posted",))
 
 
-def _open(postings: DataFrame, roots: DataFrame) -> DataFrame:
+def _open(steps: Steps, postings: DataFrame, roots: DataFrame) -> DataFrame:
     """Written rows, with ``root``, of the lists that hold more than one component."""
-    rooted = materialise(
+    rooted = steps.write(
+        "rooted",
         postings.join(roots, postings["id"] == roots["node"], "left").select(
             *postings.columns, F.coalesce("root", "id").alias("root")
-        )
+        ),
     )
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    return materialise(rooted.join(several.select("key"), "key", "left_semi"))
+    return steps.write("open", rooted.join(several.select("key"), "key", "left_semi"), done=("rooted",))
 
 
 #: The intersection of two sets has no shingle that only one member of all open lists holds. This
@@ -195,16 +198,16 @@ def _tried_centre(able: DataFrame) -> DataFrame:
     return _pairs(met.where("root_x <> root_y").where(_ABLE))
 
 
-def _once(able: DataFrame) -> DataFrame:
+def _once(steps: Steps, able: DataFrame) -> DataFrame:
     """Rows of one list only of those that hold the same members: copies share many coordinates."""
     lists = able.groupBy("key").agg(
         F.count("*").alias("c"), *[F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)]
     )
     first = lists.groupBy("c", "h0", "h1").agg(F.min("key").alias("key")).select("key")
-    return materialise(able.join(first, "key", "left_semi"))
+    return steps.write("once", able.join(first, "key", "left_semi"), done=("open",))
 
 
-def _rest(able: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest(steps: Steps, able: DataFrame, texts: DataFrame) -> DataFrame:
     """Written links (a, b) between a list's members in different components, on the full sets.
 
     Members outside a list's largest component are held against the list's other members. A list of
@@ -218,7 +221,7 @@ def _rest(able: DataFrame, texts: DataFrame) -> DataFrame:
             found = [_set(batch, "text", i).tobytes() for i in range(batch.num_rows)]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
-    able = _once(able)
+    able = _once(steps, able)
     members = able.select("id").distinct()
     whole = texts.join(members, "id", "left_semi").select("id", "text").mapInArrow(sets, f"id {kind}, shingles binary")
     sizes = able.groupBy("key", "root").agg(F.count("*").alias("c"))
@@ -226,7 +229,7 @@ def _rest(able: DataFrame, texts: DataFrame) -> DataFrame:
         F.max_by("root", F.struct("c", "root")).alias("main"),
         F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"),
     )
-    rows = able.join(lists, "key").join(materialise(whole), "id").select(
+    rows = able.join(lists, "key").join(steps.write("sets", whole), "id").select(
         "key", "id", "root", "shingles", "blocks", (F.col("root") != F.col("main")).alias("minor"),
         F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
     )
@@ -262,35 +265,42 @@ def _rest(able: DataFrame, texts: DataFrame) -> DataFrame:
         id_type = cell.schema.field("id").type
         return pa.table({"a": pa.array(a, id_type), "b": pa.array(b, id_type)})
 
-    return materialise(cells.groupBy("key", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}").distinct())
+    links = cells.groupBy("key", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}").distinct()
+    return steps.write("rest", links, done=("once", "sets"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row; kept: the component's first id."""
-    rows = materialise(sketches(docs, id_col, text_col))
+    """Written table (doc_id, n_shingles, component_id, kept) for every row; kept: the component's first id.
+
+    What the steps in between wrote and shuffled is gone when it is there.
+    """
+    steps = Steps(docs.sparkSession)
+    rows = steps.write("sketches", sketches(docs, id_col, text_col))
     sets = rows.where("id IS NOT NULL AND set_key IS NOT NULL")
-    classes = materialise(
-        sets.groupBy("set_key").agg(F.min_by(F.struct("id", "sig"), "id").alias("x")).select("set_key", "x.*")
+    classes = steps.write(
+        "classes", sets.groupBy("set_key").agg(F.min_by(F.struct("id", "sig"), "id").alias("x")).select("set_key", "x.*")
     )
-    postings = _postings(classes)
+    postings = _postings(steps, classes)
     members = postings.select("id").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = materialise(texts.join(members, "id", "left_semi").dropDuplicates(["id"]))
-    links = _confirmed(_tried_first(postings), classes, texts)
-    roots = materialise(components(links))
-    left = _open(postings, roots)
-    able = _shared(left.select("id").distinct(), texts).where(f"100 * s >= {SIMILARITY} * n")
-    left = materialise(left.drop("root").join(able, "id"))
-    roots = extended(roots, _confirmed(_tried_centre(_open(left, roots)), classes, texts))
-    roots = extended(roots, _rest(_open(left, roots), texts))
+    texts = steps.write("texts", texts.join(members, "id", "left_semi").dropDuplicates(["id"]))
+    links = _confirmed(steps, _tried_first(postings), classes, texts)
+    roots = steps.write("roots", components(links), done=("links",))
+    left = _open(steps, postings, roots)
+    able = _shared(steps, left.select("id").distinct(), texts).where(f"100 * s >= {SIMILARITY} * n")
+    left = steps.write("left", left.drop("root").join(able, "id"), done=("postings", "open", "shared"))
+    roots = extended(roots, _confirmed(steps, _tried_centre(_open(steps, left, roots)), classes, texts))
+    steps.drop("open", "links")
+    roots = extended(roots, _rest(steps, _open(steps, left, roots), texts))
     of_class = classes.join(roots, classes["id"] == roots["node"], "left").select(
         "set_key", F.coalesce("root", "id").alias("component")
     )
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return rows.join(of_class, "set_key", "left").select(
+    found = rows.join(of_class, "set_key", "left").select(
         F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
+    return steps.write("found", found, done=("sketches", "classes", "texts", "left", "roots", "rest"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

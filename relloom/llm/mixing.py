@@ -12,6 +12,10 @@ weight until none is above. With the sources sorted by cap over weight, the stop
 first ones whose cap is no more than their share of what the earlier ones left, so one running
 total over the sources finds them all.
 
+``taken_rows`` gives whole rows instead. A source's stream is cut at one place (key, size): rows before it are
+taken once more, rows behind it are not, so only one row per source is joined to the documents, and
+neither a copy nor a shuffle of the texts is needed. Rows that share the place of the cut are numbered.
+
 Null texts have size 0 and are taken 0 words; a source without words has target 0. Null sources are
 one source, null ids one key. Repeated rows count each. An empty table gives no rows. Other columns
 are not read. Only DataFrame functions are used.
@@ -23,17 +27,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relloom.functions.text import hash_order
+from relloom.llm.graph import fresh, keyed
 from relloom.operators.ranking import ranked, running_totals
 from relloom.session import materialise
 
 SEED = 7
 WEIGHTS = 3
 MAX_REPEAT = 3
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in a text; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -66,45 +72,109 @@ def targets(sized: DataFrame) -> DataFrame:
     )
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Written table (doc_id, source, size)."""
+    return materialise(
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    )
+
+
+def _budgets(sized: DataFrame) -> DataFrame:
+    """(_source, source_size, target, epochs, rest): how often a source is taken whole, and the words left then."""
+    budget = F.floor(F.col("target") + 0.5).cast("long")
+    whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).cast("long")
+    return (
+        targets(sized)
+        .withColumn("budget", budget)
+        .withColumn("epochs", whole)
+        .select(
+            F.col("source").alias("_source"), "source_size", "target", "epochs",
+            (F.col("budget") - F.col("epochs") * F.col("source_size")).alias("rest"),
+        )
+    )
+
+
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED,
-    row_col: str | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every document.
 
-    With ``row_col``, a unique key of the rows, ``row`` is returned too, so that rows of one id can be told apart.
-
     ``copies``: how often the whole document is taken; ``taken``: words taken, those of a last
     partial copy included.
     """
-    row = [F.col(row_col).alias("row")] if row_col else []
-    sized = materialise(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-            *row,
-        )
+    sized = _sized(docs, id_col, text_col, source_col)
+    placed = running_totals(
+        sized.withColumn("key", hash_order(seed, F.col("doc_id"))), ["source"], [F.col(c) for c in ("key", "doc_id", "size")],
+        {"upto": F.col("size")},
     )
-    wanted = targets(sized).select(F.col("source").alias("_source"), "source_size", "target")
-    keyed = sized.withColumn("key", hash_order(seed, F.col("doc_id")))
-    order = [F.col(c) for c in ("key", "doc_id", "size", "row") if c in keyed.columns]
-    placed = running_totals(keyed, ["source"], order, {"upto": F.col("size")})
-    budget = F.floor(F.col("target") + 0.5).cast("long")
-    whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).cast("long")
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - (F.col("upto") - F.col("size"))))
     return (
-        placed.join(wanted, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("budget", budget)
-        .withColumn("epochs", whole)
-        .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
+        placed.join(_budgets(sized), F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("part", part)
         .select(
             "doc_id", "source", "size", "source_size", "target",
             (F.col("epochs") + ((F.col("part") == F.col("size")) & (F.col("size") > 0)).cast("long")).alias("copies"),
-            (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), *["row"] * len(row),
+            (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
         )
     )
 
 
+def _cuts(sized: DataFrame, seed: int) -> DataFrame:
+    """Written table (_source, source_size, target, epochs, rest, cut_key, cut_size, before), one row per source.
+
+    The rest ends in the documents of key ``cut_key`` and size ``cut_size``, before which ``before`` words stand.
+    """
+    budgets = _budgets(sized)
+    places = sized.groupBy("source", hash_order(seed, F.col("doc_id")).alias("key"), "size").agg(F.count("*").alias("n"))
+    placed = running_totals(places, ["source"], [F.col("key"), F.col("size")], {"upto": F.col("size") * F.col("n")})
+    before = F.col("upto") - F.col("size") * F.col("n")
+    cut = placed.join(
+        budgets.select(F.col("_source").alias("_s"), F.col("rest").alias("_rest")), F.col("source").eqNullSafe(F.col("_s"))
+    ).where((before < F.col("_rest")) & (F.col("upto") >= F.col("_rest")))
+    cut = cut.select("source", F.col("key").alias("cut_key"), F.col("size").alias("cut_size"), before.alias("before"))
+    return materialise(budgets.join(cut, F.col("_source").eqNullSafe(F.col("source")), "left").drop("source"))
+
+
+def taken_rows(
+    docs: DataFrame, names: dict[str, str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    seed: int = SEED,
+) -> DataFrame:
+    """The rows that the mix takes, with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` under ``names``.
+
+    Rows are told apart by their places, so ids may repeat or be null; rows with one place are taken in the order
+    in which they are read.
+    """
+    cuts = _cuts(_sized(docs, id_col, text_col, source_col), seed)
+    mixed = fresh(docs, "mix")
+    ends = cuts.select(F.struct(*[c for c in cuts.columns]).alias(mixed))
+    rows = docs.join(ends, F.col(source_col).eqNullSafe(F.col(f"{mixed}._source")))
+    key, size = hash_order(seed, F.col(id_col)), word_count(F.col(text_col))
+    of = {c: F.col(f"{mixed}.{c}") for c in cuts.columns}
+    on_cut_key = F.coalesce(key == of["cut_key"], F.lit(False))
+    tied = on_cut_key & (size == of["cut_size"])
+    whole = F.coalesce(key < of["cut_key"], F.lit(False)) | (on_cut_key & (size < of["cut_size"]))
+
+    def given(found: DataFrame, size: Column, copies: Column, taken: Column) -> DataFrame:
+        values = {"size": size, "source_size": of["source_size"], "target": of["target"], "copies": copies, "taken": taken}
+        return found.select(*docs.columns, *[values[c].alias(n) for c, n in names.items()])
+
+    # A text without words is never taken; looking for the first word is cheaper than counting them.
+    word = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    copies = of["epochs"] + whole.cast("long")
+    clear = given(rows.where(((of["epochs"] > 0) | whole) & word & ~tied), size, copies, copies * size)
+
+    ties, row = keyed(rows.where(tied))
+    number, at = fresh(ties, "number"), fresh(ties, "at")
+    order = ranked(ties.select(of["_source"].alias("source"), F.col(row).alias("row")), ["source"], [F.col("row")])
+    order = materialise(order.select(F.col("row").alias(at), F.col("rn").alias(number)))
+    ties = ties.join(order, ties[row] == order[at])
+    size = of["cut_size"]
+    part = F.least(size, F.greatest(F.lit(0), of["rest"] - of["before"] - (F.col(number) - 1) * size))
+    taken = of["epochs"] * size + part
+    cut = given(ties.where(taken > 0), size, of["epochs"] + (part == size).cast("long"), taken)
+    return clear.unionByName(cut)
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size

@@ -6,6 +6,7 @@ import random
 import re
 import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -27,6 +28,7 @@ from relloom.llm import (
     url_filters,
 )
 from relloom.llm.graph import components
+from relloom.session import shared_folder
 from tests.conftest import SF, no_broadcast
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, root int, label double, w string"
@@ -730,6 +732,50 @@ def test_pipeline_stages_with_clashing_columns_and_shared_ids(spark):
             assert all(r["mix_size_"] == size[r.text] and 0 < r["taken_"] <= 3 * size[r.text] for r in found)
 
 
+def _written(spark, run):
+    """Bytes that a step leaves in the shared folder, and its result."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    known = set(folder.rglob("*"))
+    out = run()
+    return sum(p.stat().st_size for p in folder.rglob("*") if p not in known and p.is_file()), out
+
+
+def test_stages_write_few_texts(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghijklmnop ", k=4000)) for _ in range(200)]
+    texts += [t + " again" for t in texts]
+    rows = [(k, t, "en", "sx"[k % 2], len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").localCheckpoint()
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("near_dedup", "mixing"):
+            size, out = _written(spark, lambda: stage(spark, docs, SF))
+            assert size < sum(map(len, texts)) / 8, name
+            if name == "mixing":
+                with no_broadcast(spark):
+                    again = stage(spark, docs, SF).collect()
+                assert sorted(map(str, out.collect())) == sorted(map(str, again))
+        if name == "quality_rules":
+            # The rows are written once, and no row is joined to another by a key of its own.
+            size, out = _written(spark, lambda: stage(spark, docs, SF))
+            assert size < sum(map(len, texts)) * 1.1
+            assert "gone" not in out._jdf.queryExecution().toString()
+
+
+def test_mixed_rows_of_one_place(spark):
+    # Every id comes four times, with as many words each time, so a cut goes through rows of one place.
+    rows = [(i, f"{'w ' * (1 + i % 3)}{k}", s) for i in range(9) for k in range(4) for s in ("a", "b", None)]
+    rows += [(None, "x y", "a")] * 6 + [(None, " \n", "b"), (None, None, "b"), (1, None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").localCheckpoint()
+    names = {c: c for c in ("size", "source_size", "target", "copies", "taken")}
+    for seed in range(3):
+        got = mixing.taken_rows(docs, names, seed=seed).collect()
+        want = mixing.mix(docs, seed=seed).where("taken > 0").collect()
+        columns = ("doc_id", "source", *names)
+        assert sorted(str([r[c] for c in columns]) for r in got) == sorted(str([r[c] for c in columns]) for r in want)
+        assert all(r.size == len(r.text.split()) for r in got)
+        assert not Counter((r.doc_id, r.text, r.source) for r in got) - Counter(rows)
+
+
 def test_null_ids_are_not_linked(spark):
     text = " ".join(f"w{k}" for k in range(50))
     docs = spark.createDataFrame([(1, text), (2, text), (None, text), (None, text)], "doc_id long, text string")
