@@ -236,6 +236,28 @@ def test_links_inside_a_class(spark, monkeypatch):
     assert got == {i: sum(any(p is q for p in ps for q in qs) for j, qs in held.items() if j != i) for i, ps in held.items()}
 
 
+def test_passages_in_parts(spark, monkeypatch):
+    """Tokens and pairs are shuffled in parts, none of which holds most of them; the parts make no difference."""
+    rng = random.Random(11)
+    shared = [[f"v{rng.randrange(10**9)}" for _ in range(60)] for _ in range(8)]
+    texts = [shared[k % 8] + [f"v{rng.randrange(10**9)}" for _ in range(40)] for k in range(48)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    write, rows = graph.Steps.write, defaultdict(list)
+
+    def counted(steps, name, *args, **more):
+        out = write(steps, name, *args, **more)
+        rows[name.split("_")[0]].append(out.count())
+        return out
+
+    monkeypatch.setattr(graph.Steps, "write", counted)
+    got = sorted(map(str, substring_dedup.repeated_passages(docs).collect()))
+    for name in ("posted", "known", "found"):
+        assert 0 < max(rows[name]) <= 0.6 * sum(rows[name]), name
+    monkeypatch.setattr(substring_dedup, "PARTS", 1)
+    assert got == sorted(map(str, substring_dedup.repeated_passages(docs).collect()))
+    assert sum(rows["found"][-1:]) == 8 * 15
+
+
 def test_passages_with_a_wide_gap_and_twice(spark):
     rng = np.random.default_rng(2)
     t = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (79, 21, 46, 30, 50)]
