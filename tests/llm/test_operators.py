@@ -284,6 +284,35 @@ def test_passages_among_scattered_matches():
             assert all(x0 >= 150 and x1 <= 350 for x0, x1, _, _ in found)
 
 
+def test_one_run_in_common_is_the_passage(monkeypatch):
+    """Texts that share one run only are not aligned at all, whether tokens stand in it once or more often."""
+    want = substring_dedup.passages
+    monkeypatch.setattr(substring_dedup, "_verified", None)
+    a, b = np.arange(300, dtype=np.uint64), np.arange(1000, 1200, dtype=np.uint64)
+    for run in (np.arange(5000, 5060), np.arange(5000, 5060) % 7, np.zeros(60)):
+        one, two = a.copy(), b.copy()
+        one[100:160] = two[20:80] = run + 9000
+        assert want(one, two) == [(100, 160, 20, 80)] and want(two, one) == [(20, 80, 100, 160)]
+    assert want(a, b) == want(a[:0], b) == want(a[:45], a) == want(a[:100], a[60:]) == []
+
+
+def test_cells_hold_all_pairs_and_few_texts(spark, monkeypatch):
+    """Documents with a passage in common come into the same cells, so their texts are not shuffled once a pair."""
+    monkeypatch.setattr(substring_dedup, "CELL", 64)
+    groups = [[20 * k + g for k in range(10)] for g in range(20)] + [list(range(1000, 1040))]
+    pairs = sorted((x, y) for ids in groups for x in ids for y in ids if x < y)
+    steps = substring_dedup.Steps(spark)
+    frame = steps.write("pairs", spark.createDataFrame(pairs, "a long, b long").repartition(7))
+    cells = [tuple(r) for r in substring_dedup._cells(steps, frame, ("pairs",)).collect()]
+    assert sorted((a, b) for _, a, b in cells) == pairs
+    sizes = {}
+    for cell, _, _ in cells:
+        sizes[cell] = sizes.get(cell, 0) + 1
+    assert max(sizes.values()) <= 64
+    ends = {(cell, x) for cell, *both in cells for x in both}
+    assert len(ends) < len(pairs) / 2, (len(ends), len(pairs))
+
+
 def test_passages_by_force(monkeypatch):
     """All pairs of windows of short texts: links are exact, and next to none is lost."""
     monkeypatch.setattr(substring_dedup, "TOKENS", 8)
