@@ -296,6 +296,58 @@ def test_one_run_in_common_is_the_passage(monkeypatch):
     assert want(a, b) == want(a[:0], b) == want(a[:45], a) == want(a[:100], a[60:]) == []
 
 
+def test_pairs_of_a_cell_at_once(monkeypatch):
+    """All pairs of a cell give what each pair gives alone: copies with changes, parts in another order, repeated tokens."""
+    sd, alone = substring_dedup, substring_dedup.passages
+    calls = []
+    monkeypatch.setattr(sd, "passages", lambda *args: calls.append(1) or alone(*args))
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 240, dtype=np.uint64)
+    texts = [base[:0], base[:45], base[:46], base]
+    for k in range(40):
+        text = base.copy()
+        change = rng.random(240) < rng.choice([0.02, 0.1, 0.3])
+        text[change] = rng.integers(0, 2**63, int(change.sum()), dtype=np.uint64)
+        cut = np.sort(rng.integers(0, 240, 2))
+        parts = [text[: cut[0]], rng.integers(0, 2**63, int(rng.integers(0, 60)), dtype=np.uint64), text[cut[0] : cut[1]], text[cut[1] :]]
+        if k % 4 == 1:
+            parts = [parts[3], *parts[:3]]
+        if k % 8 == 2:
+            parts.append(text[20:70])
+        if k % 8 == 4:
+            parts.append(np.repeat(base[5:8], 30))
+        texts.append(np.concatenate(parts))
+    first = np.cumsum([0, *(len(t) for t in texts)])
+    one, two = np.array(list(itertools.combinations(range(len(texts)), 2))).T
+    got = dict(sd.all_passages(np.concatenate(texts), first, one, two))
+    want = {i: found for i, (x, y) in enumerate(zip(one, two)) if (found := alone(texts[x], texts[y]))}
+    assert got == want and len(want) > 100
+    assert len(calls) < 0.6 * len(one)
+
+
+def test_tokens_that_others_hold(spark, monkeypatch):
+    """No window is made of texts that share no token with another id, however often they repeat their own."""
+    rng = random.Random(12)
+
+    def words(n):
+        return " ".join(f"v{rng.randrange(10**9)}" for _ in range(n))
+
+    shared, own = words(60), words(60)
+    rows = [(1, f"{words(40)} {shared}"), (2, f"{shared} {words(40)}"), (3, f"{own} x {own}"), (3, f"{own} y"), (4, words(300)), (5, "short text")]
+    write, seen = graph.Steps.write, {}
+
+    def kept(steps, name, *args, **more):
+        out = write(steps, name, *args, **more)
+        seen[name] = {r.id for r in out.select("id").distinct().collect()} if "id" in out.columns else set()
+        return out
+
+    monkeypatch.setattr(graph.Steps, "write", kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_links, r.n_repeat_words) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert got == {1: (1, 60), 2: (1, 60), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+    assert seen["able"] == seen["members"] == {1, 2}
+
+
 def test_cells_hold_all_pairs_and_few_texts(spark, monkeypatch):
     """Documents with a passage in common come into the same cells, so their texts are not shuffled once a pair."""
     monkeypatch.setattr(substring_dedup, "CELL", 64)
