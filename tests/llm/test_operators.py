@@ -348,6 +348,21 @@ def test_tokens_that_others_hold(spark, monkeypatch):
     assert seen["able"] == seen["members"] == {1, 2}
 
 
+def test_links_of_rows_that_share_an_id(spark):
+    """Rows of one id give each passage once, and links are not shuffled again to find that out."""
+    rng = random.Random(13)
+
+    def words(n):
+        return " ".join(f"v{rng.randrange(10**9)}" for _ in range(n))
+
+    shared = words(60)
+    rows = [(1, f"{shared} {words(9)}"), (1, f"{shared} {words(7)}"), (2, f"{shared} {words(30)}"), (2, f"{shared} {words(20)}"), (2, words(80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.links(docs)
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 0, 60, 0, 60)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cells_hold_all_pairs_and_few_texts(spark, monkeypatch):
     """Documents with a passage in common come into the same cells, so their texts are not shuffled once a pair."""
     monkeypatch.setattr(substring_dedup, "CELL", 64)
