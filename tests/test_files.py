@@ -1,5 +1,7 @@
 """Sources, sinks, whole jobs and streams."""
 
+import gzip
+
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -193,6 +195,17 @@ def test_submissions_are_small_files(spark, tmp_path, monkeypatch):
     assert sorted(got.select("id", "pred_label", "probs").collect()) == sorted(rows.collect())
 
 
+def test_submissions_are_compressed_fast(spark, tmp_path):
+    """Files are what gzip's fastest level makes of their text, not the smaller ones of its usual level."""
+    rows = spark.range(2000, numPartitions=1).select(
+        "id", F.lit("a").alias("pred_label"), F.transform(F.sequence(F.lit(1), F.lit(30)), lambda c: (F.col("id") + c) / 2077).alias("probs"))
+    runs.write_submission(rows, str(tmp_path), "x_0.5_y")
+    (file,) = (tmp_path / "run=x_0.5_y").glob("part-*.csv.gz")
+    text = gzip.decompress(file.read_bytes())
+    fast, usual = (len(gzip.compress(text, level)) for level in (1, 6))
+    assert abs(file.stat().st_size - fast) < abs(file.stat().st_size - usual)
+
+
 def test_table_of_test_rows_alone(spark, monkeypatch):
     """The table to predict is the same without train rows being encoded, and kept columns are those asked for."""
     cfg = Config(token_max_len=20, vocab_size=50, select_DC=["remove_duplicated"])
