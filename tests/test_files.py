@@ -206,6 +206,18 @@ def test_submissions_are_compressed_fast(spark, tmp_path):
     assert abs(file.stat().st_size - fast) < abs(file.stat().st_size - usual)
 
 
+def test_names_without_patterns(spark):
+    """Facts in the name of a run are told for every row, so no pattern is matched there; odd names give what the patterns gave."""
+    names = ["a_1.5_.csv", "x.csv", "_", "1_2", "__", "a__b", "_3_", "", None, "epoch=4-f1=94.26291_80_.csv", "=", "a=", "a=b=",
+             "e=123456789_7_x", "=_=", "한=글글글글글글글글_2_", "a_b=c\n_d"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = df.select(checkpoint_score(F.col("n")), runs.name_field(F.col("n"))).collect()
+    want = df.select(F.regexp_extract("n", "=([^=]{0,7})[^=]*$", 1), F.try_element_at(F.split("n", "_"), F.lit(-2))).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    plan = df.select(checkpoint_score(F.col("n")), name_weight(F.col("n")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "split" not in plan
+
+
 def test_table_of_test_rows_alone(spark, monkeypatch):
     """The table to predict is the same without train rows being encoded, and kept columns are those asked for."""
     cfg = Config(token_max_len=20, vocab_size=50, select_DC=["remove_duplicated"])
