@@ -151,6 +151,24 @@ def test_other_persons_ships_no_text(rows_of):
     assert re.search(r"Project \[id#\w+, piece#\d+, _at#\d+\.pos AS pos#\d+, _at#\d+\.n AS n#\d+, _at#\d+\._hash AS _hash#\w+\]", plan)
 
 
+def test_other_persons_streams_rare_words_only(rows_of, monkeypatch):
+    """Frequent words are looked up in the row and texts are not shuffled; however many are frequent, the rows are the same."""
+    draw = random.Random(6)
+    texts = [" ".join(draw.choice("aabbbbccd") for _ in range(draw.randrange(1, 25))) for _ in range(40)]
+    rows = rows_of([(i, f"{t} a{i} {t[::-1]} y{i} {t}", f"a{i}", f"y{i}", "no_relation") for i, t in enumerate(texts)])
+    names = {"a", "c", "b a", "c d b", "a0", "y1"}
+    tagged, listed = cl.mark_entities(rows), rows.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    for frequent in (1, 3, 1000):
+        monkeypatch.setattr(cl, "LISTED", frequent)
+        out = cl.mask_other_persons(tagged, listed)
+        got = {r.id: r.sentence for r in out.collect()}
+        for i, t in enumerate(texts):
+            pieces = re.split(r" ?\[ENT\] ?| ?\[/ENT\] ?", f"{t} [ENT] a{i} [/ENT]  {t[::-1]} [ENT] y{i} [/ENT]  {t}")
+            assert got[i] == masked_by_hand(pieces, (f"a{i}", f"y{i}"), names)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "NOT array_contains(scalar-subquery" in plan and "RepartitionByExpression" not in plan
+
+
 # Odd spans.
 def one_row(spark, text, s, o, types=("PER", "ORG")):
     row = (1, text, text[s[0]: s[1] + 1], *s, types[0], text[o[0]: o[1] + 1], *o, types[1], "no_relation", "web")
