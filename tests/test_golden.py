@@ -159,7 +159,7 @@ def test_other_persons_streams_rare_words_only(rows_of, monkeypatch):
     names = {"a", "c", "b a", "c d b", "a0", "y1"}
     tagged, listed = cl.mark_entities(rows), rows.sparkSession.createDataFrame([(n,) for n in names], "name string")
     for frequent in (1, 3, 1000):
-        monkeypatch.setattr(cl, "LISTED", frequent)
+        monkeypatch.setattr(cl, "FREQUENT", frequent)
         out = cl.mask_other_persons(tagged, listed)
         got = {r.id: r.sentence for r in out.collect()}
         for i, t in enumerate(texts):
@@ -167,6 +167,7 @@ def test_other_persons_streams_rare_words_only(rows_of, monkeypatch):
             assert got[i] == masked_by_hand(pieces, (f"a{i}", f"y{i}"), names)
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "NOT array_contains(scalar-subquery" in plan and "RepartitionByExpression" not in plan
+        assert "AS _common" not in plan  # else each row would get a copy of the table
 
 
 # Odd spans.
