@@ -168,6 +168,14 @@ def test_other_persons_streams_rare_words_only(rows_of, monkeypatch):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "NOT array_contains(scalar-subquery" in plan and "RepartitionByExpression" not in plan
         assert "AS _common" not in plan  # else each row would get a copy of the table
+    words = rows.sparkSession.createDataFrame([(w,) for w in "a a a b b c c d".split()], "_word string")
+    for frequent, most in ((1, "a"), (2, "a"), (3, "abc"), (4, "abc")):
+        monkeypatch.setattr(cl, "FREQUENT", frequent)
+        found = cl._most_frequent(words)
+        assert sorted(r[0] for r in found.collect()) == list(most)
+        assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(cl, "FREQUENT", 0)
+    assert cl._most_frequent(words).count() == 0
 
 
 # Odd spans.
